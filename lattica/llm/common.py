@@ -36,6 +36,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_by_worker(key: tuple, make):
+    """make(), made once in each Python worker and kept over its tasks; for things that depend on key alone."""
+    import sys
+
+    # Functions reach a worker with copies of their modules; sys is the same for all of its tasks.
+    kept = sys.__dict__.setdefault("_lattica_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() splits at just the blanks that WORD leaves out."""
     return text.encode("utf-8", "replace").split() if text else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, topk, wavelet
+from . import decontaminate, language, lines, mixing, pii, simhash, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,40 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(l
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.train(docs))
+
+
+def op7_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return decontaminate.find(docs, decontaminate.prepare(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_language_crf": op1_language_crf,
     "op2_simhash_golay": op2_simhash_golay,
     "op3_wavelet_shards": op3_wavelet_shards,
     "op4_systematic_mix": op4_systematic_mix,
+    "op6_pii_bilstm_crf": op6_pii_bilstm_crf,
+    "op7_line_similarity": op7_line_similarity,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity_cnn": op9_toxicity_cnn,
     "op10_bit_sliced_topk": op10_bit_sliced_topk,
 }
 

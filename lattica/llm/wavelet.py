@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_join, work_dir
+from .common import chunks, kept_by_worker, small_join, work_dir
 
 MAGIC = b"LATWM001"
 _BLOCK = 8  # 64-bit words for one entry of a rank directory
@@ -192,12 +192,15 @@ class Shard:
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops blanks and splits at them, remembering the ids of words.
 
-    Valid for tokenizers whose normalizer and pre-tokenizer never join characters across ASCII blanks, and whose
-    model ends each pre-token with end_mark. Words of letters, with a dot or comma at their end or none, are encoded many
-    at a time and cut at end_mark; all others one by one. Memory is bounded: beyond limit words, it forgets all.
+    Valid for tokenizers whose normalizer lower-cases and, like the pre-tokenizer, never joins characters across ASCII
+    blanks, which splits runs of letters from runs of ASCII punctuation, and whose model ends each pre-token with end_mark.
+    Words of letters with punctuation (no apostrophe) at their end or none are taken apart, their letters encoded many at a
+    time and cut at end_mark; all others are encoded one by one. Memory is bounded: beyond limit words, all are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int = 1, end_mark: str = "</w>", limit: int = 400_000):
+    PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+    def __init__(self, path: str, end_id: int = 1, end_mark: str = "</w>", limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -205,44 +208,80 @@ class WordEncoder:
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for x, i in vocab.items() if x.endswith(end_mark)]] = True
         self.end_id, self.limit = end_id, limit
-        self.encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        self.tails = {x: self.encode(x.decode()) for x in (b".", b",")}
         self._forget()
 
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
-        # Place 0 is a document's end: no word is empty.
-        self.places, self.pool, self.used, self.begins, self.sizes = {b"": 0}, np.array([self.end_id] * 1024, np.uint32), 1, [0], [1]
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        self.places[word] = len(self.begins)
-        self.begins.append(self.used)
-        self.sizes.append(len(ids))
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        # Place 0 is a document's end, place 1 is nothing: no word is empty.
+        self.places, self.used = {b"": 0}, 2
+        self.pool, self.pool_used = np.full(1 << 16, self.end_id, np.uint32), 1
+        self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.sizes[0] = 1
+
+    def _add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Gives words the next places; ids are theirs one after the other."""
+        n, m = self.used + len(words), self.pool_used + len(ids)
+        while n > len(self.begins):
+            self.begins, self.sizes = np.concatenate((self.begins, self.begins)), np.concatenate((self.sizes, self.sizes))
+        while m > len(self.pool):
+            self.pool = np.concatenate((self.pool, self.pool))
+        self.begins[self.used : n] = self.pool_used + np.cumsum(sizes) - sizes
+        self.sizes[self.used : n] = sizes
+        self.pool[self.pool_used : m] = ids
+        self.places.update(zip(words, range(self.used, n), strict=True))
+        self.used, self.pool_used = n, m
+
+    def _add_lists(self, words: list[bytes], lists: list[list[int]]) -> None:
+        if words:
+            self._add(words, np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.uint32))
+
+    def _add_plain(self, cores: list[bytes]) -> None:
+        for i in range(0, len(cores), 1000):
+            part = cores[i : i + 1000]
+            ids = np.array(self.encode(b" ".join(part).decode()), np.int64)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, np.diff(ends, prepend=0), ids)
+            else:  # some word isn't one pre-token
+                self._add_lists(part, [self.encode(x.decode()) for x in part])
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of the words at places."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.begins[places] - ends + sizes, sizes)
+        shift += np.arange(len(shift))
+        return sizes, self.pool[shift]
 
     def _learn(self, words: set[bytes]) -> None:
-        plain: dict[str, list[tuple[bytes, bytes]]] = {}
+        joined, heads, tails, cores, odd = [], [], [], [], []
         for word in words:
-            core, tail = (word[:-1], word[-1:]) if word[-1:] in self.tails else (word, b"")
-            text = core.decode()
-            if text.isalpha():
-                plain.setdefault(text.lower() if text.isascii() else text, []).append((word, tail))
+            core = word.rstrip(self.PUNCTUATION)
+            if core.isalpha():
+                lower = core.lower()
+            elif core and core.decode().isalpha():
+                lower = core
             else:
-                self._add(word, self.encode(word.decode()))
-        cores = list(plain)
-        for i in range(0, len(cores), 1000):
-            part = cores[i : i + 1000]
-            ids = np.array(self.encode(" ".join(part)), np.int64)
-            cuts = np.flatnonzero(self.is_end[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                lists = [x.tolist() for x in np.split(ids, cuts[:-1])]
-            else:
-                lists = [self.encode(x) for x in part]
-            for core, own in zip(part, lists, strict=True):
-                for word, tail in plain[core]:
-                    self._add(word, own + self.tails[tail] if tail else own)
+                odd.append(word)
+                continue
+            if word != lower:
+                joined.append(word)
+                heads.append(lower)
+                tails.append(word[len(core) :])
+            cores.append(lower)
+        known = self.places
+        self._add_plain([x for x in dict.fromkeys(cores) if x not in known])
+        parts = {x for x in tails if x and x not in known}
+        odd += parts.difference(odd)
+        self._add_lists(odd, [self.encode(x.decode()) for x in odd])
+        if joined:
+            place = np.empty((len(joined), 2), np.int64)
+            place[:, 0] = np.fromiter(map(known.__getitem__, heads), np.int64, len(joined))
+            place[:, 1] = np.fromiter((known[x] if x else 1 for x in tails), np.int64, len(joined))
+            sizes, ids = self._gather(place.ravel())
+            self._add(joined, sizes.reshape(-1, 2).sum(1), ids)
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths with the end id, ids of all one after the other)."""
@@ -252,19 +291,16 @@ class WordEncoder:
             words += own
             words.append(b"")
             counts.append(len(own) + 1)
-        new = set(words) - self.places.keys()
+        new = set(words).difference(self.places)
         if new:
             if len(self.places) + len(new) > self.limit:
                 self._forget()
-                new = set(words) - self.places.keys()
+                new = set(words).difference(self.places)
             self._learn(new)
         place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = np.array(self.sizes, np.int64)[place]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(np.array(self.begins, np.int64)[place] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(counts) - 1
-        lengths = np.diff(np.concatenate(([0], ends[last]))) if counts else np.zeros(0, np.int64)
-        return lengths, ids
+        sizes, ids = self._gather(place)
+        starts = np.cumsum(counts) - counts
+        return np.add.reduceat(sizes, starts) if counts else np.zeros(0, np.int64), ids
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_tokens: int = 1 << 19) -> None:
@@ -278,7 +314,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer, end_id)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, kept_by_worker(("encoder", tokenizer, end_id), lambda: WordEncoder(tokenizer, end_id))
         held_ids, held_lengths, held, total = [], [], [], 0
 
         def flush():
