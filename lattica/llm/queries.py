@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, mixing, pii, simhash, topk, toxicity, wavelet
+from . import decontaminate, language, lines, mixing, passages, pii, simhash, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op5_recurring_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.digest(docs, pii.train(docs))
@@ -79,6 +83,7 @@ QUERIES = {
     "op2_simhash_golay": op2_simhash_golay,
     "op3_wavelet_shards": op3_wavelet_shards,
     "op4_systematic_mix": op4_systematic_mix,
+    "op5_recurring_passages": op5_recurring_passages,
     "op6_pii_bilstm_crf": op6_pii_bilstm_crf,
     "op7_line_similarity": op7_line_similarity,
     "op8_decontaminate": op8_decontaminate,

@@ -155,7 +155,7 @@ def hex_fingerprint(fp) -> F.Column:
 
 
 def keep_representatives(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; columns unchanged. Of rows that repeat a kept doc_id,
-    all are kept if their texts are in the component alone, since they can't be told apart by id."""
-    kept = near_duplicates(docs, max_bits, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs whose doc_id is its component's smallest; columns unchanged. Rows of one doc_id stay or go together,
+    as they can't be told apart by id; a null doc_id stays if its component has no other."""
+    kept = near_duplicates(docs, max_bits, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
