@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,29 +10,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import shared_path as work_dir  # noqa: F401
+from ..workspace import stage  # noqa: F401
+
 #: A word of the contracts, as a Java or Python pattern: what stands between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BLANKS = r"[\x20\x09-\x0D]+"
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, is a temporary folder of this machine set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; stages on disk don't need them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def kept_by_worker(key: tuple, make):
