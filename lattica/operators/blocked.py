@@ -117,7 +117,9 @@ def blocked_logdet(factor: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"s": [float(np.log(np.diagonal(_block(r))).sum()) for r in pdf.itertuples()]})
+            logs = [float(np.log(np.diagonal(_block(r))).sum()) for r in pdf.itertuples()]
+            fine = [bool(np.isfinite(x)) for x in logs]
+            yield pd.DataFrame({"s": [x if y else 0.0 for x, y in zip(logs, fine, strict=True)], "fine": fine})
 
-    sums = factor.where("ti = tj").mapInPandas(run, "s double").agg(F.sum("s").alias("s"))
-    return sums.select(F.when(~F.isnan("s"), 2 * F.col("s")).alias("logdet"))
+    sums = factor.where("ti = tj").mapInPandas(run, "s double, fine boolean").agg(F.sum("s").alias("s"), F.min("fine").alias("fine"))
+    return sums.select(F.when(F.col("fine"), 2 * F.col("s")).alias("logdet"))
