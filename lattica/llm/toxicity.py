@@ -22,6 +22,8 @@ from .language import held_out, sample_by_label
 BUCKETS = 1 << 15
 PREFIXES = (4, 5, 6, 8)
 WIDTHS = (1, 2, 3)
+#: Empty words after each text: a filter over empty words alone counts, one that reaches the next text never does.
+PAD = 2 * (max(WIDTHS) - 1)
 THRESHOLD = 0.3
 
 
@@ -51,7 +53,7 @@ class TextCnn:
         self.shift = np.zeros(1, np.float32)
 
     def _pool(self, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        """(pooled responses, position of each) over embedded words x, padded by max(WIDTHS) - 1 empty words a text."""
+        """(pooled responses, position of each) over embedded words x, padded by PAD empty words a text."""
         n = len(x)
         owner = np.repeat(np.arange(len(starts)), lengths)
         pooled, places = [], []
@@ -59,6 +61,8 @@ class TextCnn:
             r = np.zeros((n, self.filters), np.float32)
             for j in range(k):
                 r[: n - j] += x[j:] @ w[j]
+            for j in range(1, k):
+                r[starts + lengths - j] = -np.inf
             best = np.maximum.reduceat(r, starts, axis=0)
             hit = r == best[owner]
             at = np.stack([np.minimum.reduceat(np.where(hit[:, f], np.arange(n), n), starts) for f in range(self.filters)], 1)
@@ -67,7 +71,7 @@ class TextCnn:
         return np.concatenate(pooled, 1), np.concatenate(places, 1)
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 5) -> None:
-        """texts: bucket numbers (words x features), each ending in max(WIDTHS) - 1 empty words; labels 0 or 1."""
+        """texts: bucket numbers (words x features), each ending in PAD empty words; labels 0 or 1."""
         rng = np.random.default_rng(seed)
         params = [self.embedding, *self.conv, self.bias, self.out]
         first, second, t, ob = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, np.zeros(2)
@@ -163,7 +167,7 @@ class Scorer:
 
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(logit, language number) of each text; a text without words is one empty word."""
-        pad = [b""] * (max(WIDTHS) - 1)
+        pad = [b""] * PAD
         words, lengths = [], []
         for text in texts:
             own = (text.encode("utf-8", "replace").split() if text else []) + pad
@@ -187,6 +191,8 @@ class Scorer:
             r = self.table[place, column : column + f]
             for j in range(1, k):
                 r[: n - j] += self.table[place[j:], column + j * f : column + (j + 1) * f]
+            for j in range(1, k):
+                r[starts + lengths - j] = -np.inf
             column += k * f
             pooled.append(np.maximum.reduceat(r, starts, axis=0))
         h = np.maximum(np.concatenate(pooled, 1) + self.cnn.bias, 0)
@@ -204,7 +210,7 @@ class Scorer:
 def encode(text: str) -> np.ndarray:
     cache: dict[bytes, tuple] = {}
     rows = [cache[w] if w in cache else cache.setdefault(w, buckets_of(w)) for w in text.encode("utf-8", "replace").split()]
-    rows += [(0,) * (1 + len(PREFIXES))] * (max(WIDTHS) - 1)
+    rows += [(0,) * (1 + len(PREFIXES))] * PAD
     return np.array(rows, np.int64)
 
 
