@@ -80,11 +80,10 @@ def systematic_copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float =
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of docs(doc_id, text, source, ...), each as often as it is taken; columns unchanged."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")}
-    rows = systematic_copies(sized(docs.withColumnsRenamed(clash)), **how).where("copies > 0")
-    rows = rows.drop("size", "source_size", "target").withColumnsRenamed({b: a for a, b in clash.items() if a.lower() != "copies"})
-    rows = rows.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
-    return rows.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
+    # A row travels as one column, so that no name of its own can clash.
+    slim = sized(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))).drop("text")
+    rows = systematic_copies(slim, **how).where("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def mixing_sql(weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 42, docs: str = "documents") -> str:
