@@ -33,7 +33,13 @@ def sample_by_label(rows: DataFrame, label: str, per_label: int, columns: list[s
     slim = rows.select("doc_id", label).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     chosen = slim.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_label).select("doc_id").distinct()
     # per_label rows of each label: few, so the texts are met by a broadcast.
-    return rows.where(F.col(label).isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select(*columns).collect()
+    return one_each(rows.where(F.col(label).isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select(*columns))
+
+
+def one_each(rows: DataFrame) -> list:
+    """One row for each doc_id, the least, collected: however often a sampled id repeats, the sample stays small."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*").collect()
 
 
 class Features:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .language import held_out
+from .language import held_out, one_each
 
 #: The kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -389,8 +389,8 @@ def fit(texts: list[str], seed: int = 17, made: int = 700) -> BiLstmCrf:
 def train(docs: DataFrame, most: int = 250, longest: int = 100_000) -> BiLstmCrf:
     """A model from at most `most` of the texts that have a digit or an @ and at most `longest` characters, of rows not held out."""
     rows = docs.where(~held_out() & F.col("text").isNotNull() & (F.length("text") <= longest)).where(F.col("text").rlike("[0-9@]"))
-    slim = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = rows.join(F.broadcast(slim), "doc_id", "left_semi").select("doc_id", "text").collect()
+    slim = rows.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    sample = one_each(rows.join(F.broadcast(slim), "doc_id", "left_semi").select("doc_id", "text"))
     return fit([r.text for r in sorted(sample, key=lambda r: (r.doc_id, r.text))])
 
 

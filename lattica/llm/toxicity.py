@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .language import held_out, sample_by_label
+from .language import held_out, one_each, sample_by_label
 
 BUCKETS = 1 << 15
 PREFIXES = (4, 5, 6, 8)
@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 900) -> TextCnn:
     if not toxic:
         return TextCnn()
     ids = docs.sparkSession.createDataFrame([(int(i),) for i in toxic], "doc_id long")
-    found = rows.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("toxic", F.lit(0)).collect()
+    found = one_each(rows.join(F.broadcast(ids), "doc_id", "left_semi"))
 
     class Row:
         def __init__(self, r):
