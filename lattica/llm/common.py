@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -41,11 +42,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, max_chars: int = 2_000_000, max_rows: int = 2000) -> Iterator[list[list]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: int, max_chars: int = 1_000_000, max_rows: int = 2000) -> Iterator[list[list]]:
     """Lists of columns of at most max_rows rows and, but for single longer texts, max_chars characters.
 
-    Bounds the memory of a Python worker whatever the lengths of the texts in an Arrow batch.
+    Bounds the memory of a Python worker whatever the lengths of the texts in an Arrow batch. At the end of a task
+    what it has freed goes back to the system: an idle worker shares its executor's memory with later stages.
     """
+    try:
+        yield from _chunks(batches, text, max_chars, max_rows)
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system, where the C library can (glibc)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def _chunks(batches, text: int, max_chars: int, max_rows: int):
     for batch in batches:
         column = batch.column(text)
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()

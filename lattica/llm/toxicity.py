@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, trim
 from .language import held_out, one_each, sample_by_label
 
 BUCKETS = 1 << 15
@@ -266,7 +266,7 @@ def score(docs: DataFrame, cnn: TextCnn) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(cnn)
-        for ids, out, texts in chunks(batches, 2, max_chars=1_500_000):
+        for ids, out, texts in chunks(batches, 2, max_chars=600_000):
             s = scorer.scores(texts)
             cols = [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
             yield pa.record_batch(cols, ["doc_id", "held_out", "score", "predicted"])
@@ -283,8 +283,10 @@ def keep_clean(docs: DataFrame, cnn: TextCnn) -> DataFrame:
         scorer = Scorer(cnn)
         for batch in batches:
             flags = []
-            for (texts,) in chunks(iter([batch.select(["text"])]), 0, max_chars=1_500_000):
+            for (texts,) in chunks(iter([batch.select(["text"])]), 0, max_chars=600_000):
                 flags += (scorer.scores(texts) < THRESHOLD).tolist()
             yield batch.filter(pa.array(flags, pa.bool_()))
+        del scorer
+        trim()
 
     return docs.select(*names).mapInArrow(run, docs.schema)
