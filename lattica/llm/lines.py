@@ -16,50 +16,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small_join, stage
+from .common import BLANKS, WORD, release, small_join, stage
 
 _BUCKETS = 1 << 16
+_NONE = -(1 << 63)  # stands for a null doc_id in a join
 
 
-def _shares(docs: DataFrame) -> bytearray:
-    """For each bucket of word hashes a level from 0 to 15: the power of two of its share in all words."""
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
-    counts = stage(words.select(F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).alias("b")).groupBy("b").count(), "shares")
+def _plain(word: F.Column) -> F.Column:
+    """A word as 4 bits of shortness and 55 of its hash, of which the upper 16 are its bucket."""
+    short = (F.lit(15) - F.least(F.lit(15), F.length(word))).cast("long")
+    return F.shiftrightunsigned(F.xxhash64(word), 9).bitwiseOR(F.shiftleft(short, 55))
+
+
+def _bucket(plain: F.Column) -> F.Column:
+    return F.shiftrightunsigned(plain, 39).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")
+
+
+def _split(text: F.Column) -> F.Column:
+    return F.array_remove(F.split(text, BLANKS), "")
+
+
+def _shares(docs: DataFrame) -> str:
+    """For each bucket of word hashes a level from 0 to 15, the power of two of its share in all words; by commas."""
+    words = docs.select(F.explode(_split(F.col("text").cast("string"))).alias("w"))
+    counts = stage(words.select(_bucket(_plain(F.col("w"))).alias("b")).groupBy("b").count(), "shares")
     total = counts.agg(F.sum("count")).first()[0] or 1
     level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.col("count") / F.lit(float(total)) * F.lit(float(1 << 20)))))).cast("int")
-    table = bytearray(b"@" * _BUCKETS)
+    table = ["0"] * _BUCKETS
     # One row for each bucket that has words: as many as there are buckets at most.
     for b, n in counts.select("b", level).collect():
-        table[b] += n
-    return table
-
-
-def _words(text: F.Column, table: bytearray) -> F.Column:
-    """The sorted set of a line's words: each is 4 bits of rarity, 4 of shortness and 55 of its hash."""
+        table[b] = str(n)
+    return ",".join(table)
 
-    def number(w):
-        h = F.xxhash64(w)
-        level = F.ascii(F.substring(F.lit(table), (F.pmod(h, F.lit(_BUCKETS)) + 1).cast("int"), 1).cast("string")) - 64
-        short = F.lit(15) - F.least(F.lit(15), F.length(w))
-        return F.shiftleft(level.cast("long"), 59).bitwiseOR(F.shiftleft(short.cast("long"), 55)).bitwiseOR(F.shiftrightunsigned(h, 9))
 
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), number)))
+def _words(text: F.Column, table: str) -> F.Column:
+    """The sorted set of a line's words: each is 4 bits of rarity before what _plain() gives."""
+    levels = F.split(F.lit(table), ",").cast("array<long>")  # a constant: folded before it runs
+    ranked = F.transform(F.transform(_split(text), _plain), lambda x: x.bitwiseOR(F.shiftleft(F.get(levels, _bucket(x)), 59)))
+    return F.sort_array(F.array_distinct(ranked))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, t): th tells texts of one doc_id apart, t is the line's text."""
+    """(doc_id, th, line, t) of the lines with words: th tells texts of one doc_id apart, t is the line's text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(WORD))
 
 
-def line_classes(docs: DataFrame, table: bytearray, num: int = 4, den: int = 5) -> DataFrame:
+def line_classes(docs: DataFrame, table: str, num: int = 4, den: int = 5) -> DataFrame:
     """One row for each distinct set of words: ord (numbers in the order of first occurrence), doc_id, th, line (where it
     first stands), n (size), prefix (its first words by rarity), sig (parity bits)."""
-    w = F.col("w")
-    size = F.size(w)
-    prefix = F.slice(w, 1, size - F.floor((size * num + den - 1) / F.lit(den)).cast("int") + 1)
-    parity = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
-    rows = _lines(docs).select("doc_id", "th", "line", _words(F.col("t"), table).alias("w")).where(F.size("w") > 0)
+    size = F.size("w")
+    prefix = F.slice("w", 1, size - F.floor((size * num + den - 1) / F.lit(den)).cast("int") + 1)
+    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    rows = _lines(docs).select("doc_id", "th", "line", _words(F.col("t"), table).alias("w"))
     keyed = rows.select(F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), size.alias("n"), F.struct("doc_id", "th", "line", prefix.alias("prefix"), parity.alias("sig")).alias("at"))
     first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("n", "at.*")
     order = ["doc_id", "th", "line"]
@@ -69,21 +78,23 @@ def line_classes(docs: DataFrame, table: bytearray, num: int = 4, den: int = 5)
 
 
 def _bounds(a: str, b: str, num: int, den: int) -> F.Column:
-    """Whether postings a and b (columns n, pos, sig with these prefixes) may belong to similar sets."""
-    c = lambda p, x: F.col(p + x)
-    na, nb = c(a, "n"), c(b, "n")
+    """Whether postings a and b may belong to similar sets; columns np (size and place, 32 bits each) and sig have these prefixes."""
+    size = lambda p: F.shiftright(F.col(p + "np"), 32)
+    place = lambda p: F.col(p + "np").bitwiseAND(F.lit(0xFFFFFFFF))
+    na, nb, pa, pb = size(a), size(b), place(a), place(b)
     least = F.floor(((na + nb) * num + (num + den - 1)) / F.lit(num + den))
-    reach = F.least(c(a, "pos"), c(b, "pos")) + F.least(na - c(a, "pos"), nb - c(b, "pos"))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (reach >= least) & (F.bit_count(c(a, "sig").bitwiseXOR(c(b, "sig"))) <= na + nb - 2 * least)
+    reach = F.least(pa, pb) + F.least(na - pa, nb - pb)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.bit_count(F.col(a + "sig").bitwiseXOR(F.col(b + "sig"))) <= na + nb - 2 * least) & (reach >= least)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table: bytearray, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table: str, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b) whose whole sets are similar; sets are read again from the lines where they first stand."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
     places = classes.select("ord", "doc_id", "th", "line").join(ids, "ord", "left_semi")
     wanted = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "ord")).alias("wanted"))
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.join(wanted, rows.d.eqNullSafe(wanted.doc_id) & (rows.h == wanted.th)).select(F.split("text", "\n").alias("t"), F.explode("wanted").alias("at"))
+    wanted = stage(wanted.withColumnsRenamed({"doc_id": "d", "th": "h"}).withColumn("d", F.coalesce("d", F.lit(_NONE).cast("long"))), "wanted")
+    rows = small_join(rows.withColumn("d", F.coalesce("d", F.lit(_NONE).cast("long"))), wanted, ["d", "h"], max_rows=300_000).select(F.split("text", "\n").alias("t"), F.explode("wanted").alias("at"))
     sets = rows.select(F.col("at.ord").alias("ord"), _words(F.element_at("t", F.col("at.line") + 1), table).alias("w")).dropDuplicates(["ord"])
     sets = stage(sets, "sets")
     both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("w").alias("wb")), "b")
@@ -91,27 +102,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table: byte
     return both.where(common * (num + den) >= (F.size("wa") + F.size("wb")) * num).select("a", "b")
 
 
-def removed_classes(docs: DataFrame, classes: DataFrame, table: bytearray, num: int = 4, den: int = 5) -> DataFrame:
+def removed_classes(docs: DataFrame, classes: DataFrame, table: str, num: int = 4, den: int = 5) -> DataFrame:
     """(ord) of the classes that have an earlier similar class."""
     posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "ord", "n", "sig")
+    size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves all uses below.
+    sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
+    posting = posting.select(sure(F.col("word"), "word"), sure(F.col("ord"), "ord"), sure(size_place, "np"), sure(F.col("sig"), "sig"))
     w = Window.partitionBy("word").orderBy("ord")
-    hub = F.first(F.struct("ord", "n", "pos", "sig")).over(w)
-    seen = posting.withColumn("hub", hub).where("ord <> hub.ord")
-    seen = seen.select("word", "ord", "n", "pos", "sig", F.col("hub.ord").alias("hub_ord"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), F.col("hub.sig").alias("hub_sig"))
-    seen = seen.withColumn("near", _bounds("", "hub_", num, den))
-    earlier = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("ord", "n", "pos", "sig")))
+    hubs = {f"hub_{x}": F.first(x).over(w) for x in ("ord", "np", "sig")}
+    seen = posting.withColumns(hubs).where("ord <> hub_ord").withColumn("near", _bounds("", "hub_", num, den))
+    earlier = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("ord", "np", "sig")))
     full = seen.where(~F.col("near")).join(earlier, "word").where((F.col("b_ord") < F.col("ord")) & (F.col("b_ord") > F.col("hub_ord")) & _bounds("", "b_", num, den))
     found = seen.where("near").select(F.col("ord").alias("a"), F.col("hub_ord").alias("b"), F.lit(True).alias("near"))
     pairs = stage(found.union(full.select("ord", "b_ord", F.lit(False))).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
-    sure = stage(_verified(pairs, classes, docs, table, num, den).select(F.col("a").alias("ord")).distinct(), "similar")
+    release(docs.sparkSession)
+    similar = stage(_verified(pairs, classes, docs, table, num, den).select(F.col("a").alias("ord")).distinct(), "similar")
     # Classes that looked at the earliest class alone somewhere, and in vain.
-    open_ = stage(pairs.where("near").select(F.col("a").alias("ord")).distinct().join(sure, "ord", "left_anti"), "open")
+    open_ = stage(pairs.where("near").select(F.col("a").alias("ord")).distinct().join(similar, "ord", "left_anti"), "open")
     if open_.isEmpty():
-        return sure
+        return similar
+    release(docs.sparkSession)
     own = small_join(posting, open_, ["ord"])
     again = small_join(earlier, own, ["word"]).where((F.col("b_ord") < F.col("ord")) & _bounds("", "b_", num, den))
     again = stage(again.select(F.col("ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "again")
-    return sure.union(_verified(again, classes, docs, table, num, den).select(F.col("a").alias("ord"))).distinct()
+    return similar.union(_verified(again, classes, docs, table, num, den).select(F.col("a").alias("ord"))).distinct()
 
 
 def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -123,6 +138,7 @@ def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """
     table = _shares(docs)
     classes = line_classes(docs, table, num, den)
+    release(docs.sparkSession)
     gone = removed_classes(docs, classes, table, num, den)
     return classes.join(gone, "ord", "left_anti").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("kept"))
 
@@ -136,7 +152,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     kept = kept_lines(docs, num, den)
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
     rows = rows.select("d", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("t"))
-    full = F.filter(F.transform("t", lambda x, i: F.when(F.length(F.translate(x, " \t\x0b\x0c\r\n", "")) > 0, i)), lambda x: x.isNotNull())
+    full = F.filter(F.transform("t", lambda x, i: F.when(x.rlike(WORD), i)), lambda x: x.isNotNull())
     rows = rows.select("d", "h", F.coalesce(F.size(full), F.lit(0)).alias("full"), full.alias("lines"), F.when(F.col("t").isNull(), 0).otherwise(F.size("t")).cast("long").alias("n_lines"))
     both = rows.join(kept, rows.d.eqNullSafe(kept.doc_id) & (rows.h == kept.th), "left")
     removed = F.coalesce(F.array_except("lines", F.coalesce("kept", F.array().cast("array<int>"))), F.array().cast("array<int>"))
