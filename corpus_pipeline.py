@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, mixing, simhash, toxicity, wavelet
+from lattica.llm import decontaminate, mixing, near, toxicity, wavelet
 from lattica.llm.common import stage
 from lattica.llm.queries import tokenizer_path
 
@@ -20,8 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest doc_id stays."""
-    return simhash.keep_representatives(docs)
+    """Of each group of near duplicates (Jaccard 0.8 of five-word shingles), the document of the smallest doc_id stays."""
+    return near.keep_representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,16 @@ GENERATOR = 0b101011100011
 WIDTHS = (22, 21, 21)
 
 
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of width words, in order; fewer words are one run."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(width, len(words))
+    parts = map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, parts), repeat(seed)), np.uint64)
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash over the shingles of width words, repeats counted; zero for a text without words.
 
@@ -33,12 +43,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     words = words_of(text.translate(_LOWER) if text else None)
     if not words:
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(width, len(words))
-    parts = map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, parts), repeat(seed)), np.uint64)
+    hashes = shingle_hashes(words, width, seed)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
