@@ -2,8 +2,9 @@
 
 A word's embedding is the sum of those of its hashed lower-cased letters and of its hashed beginnings, so that inflected
 forms of a stem share a part. Filters slide over the words of the whole text; the largest response of each, after a
-rectifier, goes to a logistic output. The thresholds are calibrated by language on labelled texts kept from the fit; the
-language is itself guessed from the words, and the score is shifted so that one threshold (0.3) holds for all.
+rectifier, goes to a logistic output. The thresholds are calibrated by language on all labelled texts that weren't fitted,
+at the class shares of all labelled texts; the language is itself guessed from the words, and the score is shifted so that
+one threshold (0.3) holds for all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, trim
+from .common import chunks, small_join, trim
 from .language import held_out, one_each, sample_by_label
 
 BUCKETS = 1 << 15
@@ -25,6 +26,8 @@ WIDTHS = (1, 2, 3)
 #: Empty words after each text: a filter over empty words alone counts, one that reaches the next text never does.
 PAD = 2 * (max(WIDTHS) - 1)
 THRESHOLD = 0.3
+#: Steps of a logit in the counts that thresholds are set from.
+STEP = 1024
 
 
 def buckets_of(word: bytes) -> tuple[int, ...]:
@@ -129,26 +132,45 @@ class TextCnn:
         self.language_weights[0] = 0
         self.shift = np.zeros(max(1, len(self.languages)), np.float32)
 
-    def calibrate(self, logits: np.ndarray, language: np.ndarray, labels: np.ndarray, least: int = 12) -> None:
-        """For each language the cut with the best F1, halfway to the next logit; all texts' cut where labels are few."""
-
-        def cut(z, y):
-            if not y.any() or y.all():
+    def calibrate(self, counts: dict, least: int = 12) -> None:
+        """counts: (guessed language, label) to {step of the logit: (fitted, other)}, the numbers of texts by step (see STEP).
+
+        For each language the cut with the best F1, halfway to the next step that has texts. Where fewer than least
+        toxic texts weren't fitted, the other languages' texts make up for the missing ones, at that weight. Fitted texts
+        only count in their class's share: the others of the class stand for them, so that the shares are those of all
+        texts. Where no toxic text is left unfitted, fitted ones are used.
+        """
+
+        def cut(shares):
+            at, weights = {}, {}
+            for y in (0, 1):
+                for i, share in shares.items():
+                    own = counts.get((i, y), {})
+                    total, other = (sum(map(f, own.values())) for f in (sum, lambda n: n[1]))
+                    if other:
+                        weights[i, y] = share * total / other
+                    for z, n in own.items():
+                        if n[1]:
+                            at.setdefault(z, [0.0, 0.0])[y] += n[1] * weights[i, y]
+            z = sorted(at, reverse=True)
+            n = np.array([at[x] for x in z]).reshape(-1, 2).cumsum(0)
+            if not len(z) or n[-1, 0] == 0 or n[-1, 1] == 0:
                 return None
-            order = np.argsort(-z, kind="stable")
-            z, hits = z[order], np.cumsum(y[order])
-            f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
-            f1[:-1][z[:-1] == z[1:]] = 0
+            f1 = 2 * n[:, 1] / (n.sum(1) + n[-1, 1])
             best = int(np.flatnonzero(f1 >= f1.max() - 1e-9)[-1])
-            below = z[best + 1] if best + 1 < len(z) else z[best] - 2
-            return (z[best] + below) / 2
+            below = z[best + 1] if best + 1 < len(z) else z[best] - 2 * STEP
+            return (z[best] + below) / 2 / STEP
 
-        overall = cut(logits, labels)
+        if not any(n[1] for (_, y), own in counts.items() if y for n in own.values()):
+            counts = {key: {z: (0, sum(n)) for z, n in own.items()} for key, own in counts.items()}
+        every = range(len(self.shift))
         base = np.log(THRESHOLD / (1 - THRESHOLD))
-        for i in range(len(self.shift)):
-            own = language == i
-            c = cut(logits[own], labels[own]) if labels[own].sum() >= least else None
-            c = overall if c is None else c
+        known = {i: sum(n[1] for n in counts.get((i, 1), {}).values()) for i in every}
+        toxic = {i: sum(map(sum, counts.get((i, 1), {}).values())) if known[i] else 0 for i in every}
+        for i in every:
+            rest = sum(toxic.values()) - toxic[i]
+            others = min(1.0, max(0, least - known[i]) / rest) if rest else 0
+            c = cut({j: 1.0 if j == i else others for j in every if j == i or others})
             self.shift[i] = base - c if c is not None else 0
 
 
@@ -214,29 +236,49 @@ def encode(text: str) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def fit(sample: list) -> TextCnn:
-    """sample: rows with doc_id, text, lang, toxic. A fifth, by the id's checksum, sets the thresholds; the rest is fitted."""
+def fit(sample: list) -> tuple[TextCnn, list]:
+    """A classifier without thresholds from rows with doc_id, text, lang, toxic; and the ids of those it was fitted on."""
     sample = sorted(sample, key=lambda r: (zlib.crc32(f"o{r.doc_id}".encode()), r.doc_id, r.text or ""))
     cnn = TextCnn()
     texts = [encode(r.text or "") for r in sample]
     labels = np.array([r.toxic for r in sample], np.int64)
-    aside = np.array([zlib.crc32(f"c{r.doc_id}".encode()) % 5 == 0 for r in sample], bool)
+    kept = np.array([zlib.crc32(f"c{r.doc_id}".encode()) % 5 == 0 for r in sample], bool)
     if len(sample) == 0 or labels.min() == labels.max():
-        return cnn
+        return cnn, []
     known = [(x, r.lang) for x, r in zip(texts, sample, strict=True) if r.lang is not None]
     if known:
         cnn.fit_languages([x for x, _ in known], [y for _, y in known])
-    fitted = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(sample))
+    fitted = np.flatnonzero(~kept) if (~kept).any() else np.arange(len(sample))
     cnn.fit([texts[i] for i in fitted], labels[fitted])
-    held = np.flatnonzero(aside) if labels[aside].any() else np.arange(len(sample))
-    scorer = Scorer(cnn)
-    z, language = scorer.logits([sample[i].text for i in held])
-    cnn.calibrate(z, language, labels[held])
-    return cnn
+    return cnn, [sample[i].doc_id for i in fitted]
+
+
+def logit_counts(rows: DataFrame, cnn: TextCnn, fitted: list) -> dict:
+    """What calibrate() takes, from every row of rows(doc_id, text, toxic) in one distributed pass."""
+    ids = np.sort(np.array(fitted, np.int64))
+
+    def run(batches):
+        scorer = Scorer(cnn)
+        for own, toxic, texts in chunks(batches, 2, max_chars=600_000):
+            z, language = scorer.logits(texts)
+            z = np.floor(np.clip(z, -40, 40) * STEP).astype(np.int64)
+            cols = [pa.array(language.astype(np.int32)), pa.array(toxic, pa.int32()), pa.array(z), pa.array(np.isin(np.array(own, np.int64), ids))]
+            yield pa.record_batch(cols, ["language", "toxic", "z", "fitted"])
+        del scorer
+        trim()
+
+    scored = rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), F.col("text").cast("string")).mapInArrow(run, "language int, toxic int, z long, fitted boolean")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts: dict = {}
+    # Bounded by languages, labels and steps, whatever the number of rows.
+    for r in scored.groupBy("language", "toxic", "z").agg(n(F.col("fitted")).alias("fitted"), n(~F.col("fitted")).alias("other")).collect():
+        counts.setdefault((r.language, int(r.toxic > 0)), {})[r.z] = (r.fitted, r.other)
+    return counts
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 900) -> TextCnn:
-    """A classifier from at most per_label labelled whole texts of each class, of rows that aren't held out.
+    """A classifier fitted on at most per_label labelled whole texts of each class; thresholds from all labelled rows. Rows that
+    are held out take part in neither.
 
     labels(doc_id, toxic): null labels are left out; of several labels of one id the largest holds.
     """
@@ -255,7 +297,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 900) -> TextCnn:
         def __init__(self, r):
             self.doc_id, self.text, self.lang, self.toxic = r.doc_id, r.text, r.lang, toxic[r.doc_id]
 
-    return fit([Row(r) for r in found])
+    cnn, fitted = fit([Row(r) for r in found])
+    if fitted:
+        cnn.calibrate(logit_counts(small_join(rows, own, ["doc_id"], max_rows=1_000_000), cnn, fitted))
+    return cnn
 
 
 def score(docs: DataFrame, cnn: TextCnn) -> DataFrame:
@@ -270,6 +315,8 @@ def score(docs: DataFrame, cnn: TextCnn) -> DataFrame:
             s = scorer.scores(texts)
             cols = [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
             yield pa.record_batch(cols, ["doc_id", "held_out", "score", "predicted"])
+        del scorer
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -75,6 +75,40 @@ def test_toxicity_held_out(spark, rows):
     assert kept == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_thresholds_cover_all_labelled_rows(rows):
+    """Each labelled row that isn't held out is counted, however small the sample for fitting."""
+    docs, labels, _ = rows
+    seen = {}
+    calibrate = toxicity.TextCnn.calibrate
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity.TextCnn, "calibrate", lambda self, counts, *a: (seen.update(counts), calibrate(self, counts, *a))[1])
+        toxicity.train(docs, labels, per_label=20)
+    texts = {r.doc_id for r in docs.where("text IS NOT NULL").collect()}
+    own = [r.toxic for r in labels.where("toxic IS NOT NULL").collect() if r.doc_id in texts and not held(r.doc_id)]
+    for y in (0, 1):
+        counts = [n for (_, label), steps in seen.items() if label == y for n in steps.values()]
+        assert sum(map(sum, counts)) == sum(x == y for x in own)
+        assert sum(n[0] for n in counts) <= 20
+
+
+def test_toxicity_thresholds_at_natural_shares():
+    """Fitted rows count in the share of their class: the cut is that of all rows, not of those left by a balanced sample."""
+    rng = np.random.default_rng(2)
+    z = {0: rng.normal(0, 1, 20_000), 1: rng.normal(2, 1, 2_000)}
+    cuts = []
+    for fitted in (0, 1500):
+        counts = {}
+        for y, own in z.items():
+            for k, x in enumerate(own):
+                step = counts.setdefault((0, y), {}).setdefault(int(np.floor(x * toxicity.STEP)), [0, 0])
+                step[int(k >= fitted)] += 1
+        cnn = toxicity.TextCnn()
+        cnn.calibrate(counts)
+        cuts.append(float(np.log(0.3 / 0.7) - cnn.shift[0]))
+    best = max(np.arange(0, 4, 0.01), key=lambda c: 2 * (z[1] >= c).sum() / ((z[0] >= c).sum() + (z[1] >= c).sum() + 2_000))
+    assert cuts[0] == pytest.approx(best, abs=0.1) and cuts[1] == pytest.approx(best, abs=0.3)
+
+
 def test_toxicity_scores_equal_the_network():
     """The table of what words add gives the same as embedding and filters."""
     cnn = toxicity.TextCnn()
