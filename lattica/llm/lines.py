@@ -6,14 +6,13 @@ by hash; any order that all lines share gives an exact join. Two sets of Jaccard
 their first n - ceil(t n) + 1 (prefix filter); lengths, the places of a shared word and 64 parity bits bound what they
 can share at most. What is left is verified on the whole sets.
 
-A line is removed if an earlier one is similar. So a class needs just one earlier similar class, which saves the pairs of
-large groups: at each word of its prefix a class first looks at the earliest class that has the word there. Where that
-one is within all bounds, no other is looked at; a class whose every such find fails to verify is joined in full after that.
+All pairs of similar classes are found, also within large groups. A line is removed if an earlier one is similar; each class
+has the number of its links to other classes besides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, release, small_join, stage
@@ -102,35 +101,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table: str,
     return both.where(common * (num + den) >= (F.size("wa") + F.size("wb")) * num).select("a", "b")
 
 
-def removed_classes(docs: DataFrame, classes: DataFrame, table: str, num: int = 4, den: int = 5) -> DataFrame:
-    """(ord) of the classes that have an earlier similar class."""
+def similar_classes(docs: DataFrame, classes: DataFrame, table: str, num: int = 4, den: int = 5) -> DataFrame:
+    """(a, b): every pair of similar classes once, by ord; b is the earlier one."""
     posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "ord", "n", "sig")
     size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves all uses below.
+    # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves both uses below.
     sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
     posting = posting.select(sure(F.col("word"), "word"), sure(F.col("ord"), "ord"), sure(size_place, "np"), sure(F.col("sig"), "sig"))
-    w = Window.partitionBy("word").orderBy("ord")
-    hubs = {f"hub_{x}": F.first(x).over(w) for x in ("ord", "np", "sig")}
-    seen = posting.withColumns(hubs).where("ord <> hub_ord").withColumn("near", _bounds("", "hub_", num, den))
     earlier = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("ord", "np", "sig")))
-    full = seen.where(~F.col("near")).join(earlier, "word").where((F.col("b_ord") < F.col("ord")) & (F.col("b_ord") > F.col("hub_ord")) & _bounds("", "b_", num, den))
-    found = seen.where("near").select(F.col("ord").alias("a"), F.col("hub_ord").alias("b"), F.lit(True).alias("near"))
-    pairs = stage(found.union(full.select("ord", "b_ord", F.lit(False))).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
+    both = posting.join(earlier, "word").where((F.col("b_ord") < F.col("ord")) & _bounds("", "b_", num, den))
+    pairs = stage(both.select(F.col("ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "pairs")
     release(docs.sparkSession)
-    similar = stage(_verified(pairs, classes, docs, table, num, den).select(F.col("a").alias("ord")).distinct(), "similar")
-    # Classes that looked at the earliest class alone somewhere, and in vain.
-    open_ = stage(pairs.where("near").select(F.col("a").alias("ord")).distinct().join(similar, "ord", "left_anti"), "open")
-    if open_.isEmpty():
-        return similar
-    release(docs.sparkSession)
-    own = small_join(posting, open_, ["ord"])
-    again = small_join(earlier, own, ["word"]).where((F.col("b_ord") < F.col("ord")) & _bounds("", "b_", num, den))
-    again = stage(again.select(F.col("ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "again")
-    return similar.union(_verified(again, classes, docs, table, num, den).select(F.col("a").alias("ord"))).distinct()
+    return stage(_verified(pairs, classes, docs, table, num, den), "similar")
 
 
 def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, th, kept): the numbers (from 0) of the lines that stay of those with words, for texts that have any.
+    """(doc_id, th, kept, links) for the texts where a class first stands: the numbers (from 0) of the lines that stay of those
+    with words, and (line, n) for each line that is the first of a class with n > 0 links to similar classes.
 
     A line stays if none of the lines before it (smaller doc_id, th, line) has a set of words of Jaccard similarity
     num / den or more; all lines are judged on the input. th is the text's hash: rows that repeat a doc_id and text are
@@ -139,12 +126,18 @@ def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     table = _shares(docs)
     classes = line_classes(docs, table, num, den)
     release(docs.sparkSession)
-    gone = removed_classes(docs, classes, table, num, den)
-    return classes.join(gone, "ord", "left_anti").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    pairs = similar_classes(docs, classes, table, num, den)
+    ends = pairs.select(F.col("a").alias("ord"), F.lit(1).alias("gone")).union(pairs.select("b", F.lit(0)))
+    ends = ends.groupBy("ord").agg(F.count("*").alias("links"), F.max("gone").alias("gone"))
+    rows = classes.select("ord", "doc_id", "th", "line").join(ends, "ord", "left")
+    kept = F.when(F.coalesce("gone", F.lit(0)) == 0, F.col("line"))
+    links = F.when(F.col("links") > 0, F.struct("line", F.col("links").alias("n")))
+    return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(kept)).alias("kept"), F.sort_array(F.collect_list(links)).alias("links"))
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """One row for each row of docs(doc_id, text, ...): doc_id, n_lines, n_removed, removed (numbers of the removed lines).
+    """One row for each row of docs(doc_id, text, ...): doc_id, n_lines, n_removed, removed (numbers of the removed lines),
+    links ((line, n): a line where a class first stands, which is the class's id, and its number of similar classes, if any).
 
     Lines without words always stay. Null texts have no lines; empty ones have one, without words. Null doc_ids stand
     before all others. Other columns are not read.
@@ -156,4 +149,4 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     rows = rows.select("d", "h", F.coalesce(F.size(full), F.lit(0)).alias("full"), full.alias("lines"), F.when(F.col("t").isNull(), 0).otherwise(F.size("t")).cast("long").alias("n_lines"))
     both = rows.join(kept, rows.d.eqNullSafe(kept.doc_id) & (rows.h == kept.th), "left")
     removed = F.coalesce(F.array_except("lines", F.coalesce("kept", F.array().cast("array<int>"))), F.array().cast("array<int>"))
-    return both.select(F.col("d").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return both.select(F.col("d").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.array().cast("array<struct<line:int,n:bigint>>")).alias("links"))

@@ -65,7 +65,7 @@ def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+    return found.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"), F.expr("concat_ws(',', transform(links, x -> concat(x.line, ':', x.n)))").alias("line_links"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,37 @@ def test_pipeline_near_duplicates_of_edited_copies(spark):
     got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == expected
     assert len(rows) > len(set(expected.values())) > 12
+
+
+def class_links(docs):
+    """doc_id to [(line, number of similar classes)] where classes with links first stand, by brute force."""
+    place = {}
+    for i, text in docs:
+        for k, line in enumerate(text.split("\n") if text is not None else []):
+            if helpers.words(line):
+                place.setdefault(frozenset(helpers.words(line)), (i, k))
+    counts, sets = {}, list(place)
+    for k, a in enumerate(sets):
+        for b in sets[k + 1 :]:
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                for x in (a, b):
+                    counts[place[x]] = counts.get(place[x], 0) + 1
+    out = {i: [] for i, _ in docs}
+    for (i, k), n in sorted(counts.items()):
+        out[i].append((k, n))
+    return out
+
+
+def test_line_links_against_brute_force(spark, sf_dir):
+    """Each class has all its links, also in groups of three and more."""
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    first = max(i for i, _ in rows) + 1
+    for v in range(30):
+        w = [f"w{k}" for k in range(30)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(30)] = f"v{rng.randrange(40)}"
+        rows.append((first + v, " ".join(w)))
+    expected = class_links(rows)
+    got = {r.doc_id: [(x.line, x.n) for x in r.links] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and max(n for own in expected.values() for _, n in own) > 3
