@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import shared_path as work_dir  # noqa: F401
-from ..workspace import stage  # noqa: F401
 
 #: A word of the contracts, as a Java or Python pattern: what stands between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +19,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to a new folder under the shared one and read back."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Deletes the folders of stages from which nothing is to be read any more: what came of them is written itself."""
+    for df in stages:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; stages on disk don't need them."""
     gc.collect()

@@ -1,10 +1,11 @@
 """Line deduplication by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words; lines of one set are a class, whose place is its first occurrence. Words are ordered by
-rarity: by how much of the corpus their hash bucket holds (powers of two, counted over all documents), longer words first, then
-by hash; any order that all lines share gives an exact join. Two sets of Jaccard similarity t or more share a word among
-their first n - ceil(t n) + 1 (prefix filter); lengths, the places of a shared word and 64 parity bits bound what they
-can share at most. What is left is verified on the whole sets.
+rarity: by how much of the corpus their hash bucket holds (in steps of the square root of two, counted over all
+documents), then by hash; any order that all lines share gives an exact join. Of two sets of Jaccard similarity t or more, the
+larger has the first word that both share among its first n - ceil(t n) + 1, the smaller among its first
+n - ceil(2 t n / (1 + t)) + 1 (prefix filter). Lengths, the places of that word and 64 parity bits bound what they can share
+at most. What is left is verified on the words themselves, read again from the lines.
 
 All pairs of similar classes are found, also within large groups. A line is removed if an earlier one is similar; each class
 has the number of its links to other classes besides.
@@ -12,127 +13,144 @@ has the number of its links to other classes besides.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, release, small_join, stage
+from .common import discard, release, small_join, stage
 
-_BUCKETS = 1 << 16
-_NONE = -(1 << 63)  # stands for a null doc_id in a join
+_BITS = 17
+_BUCKETS = 1 << _BITS
+_LEVELS = 5  # bits of a rank that hold a word's rarity
+_NONE = -(1 << 63)  # stands for a null doc_id
 
 
-def _plain(word: F.Column) -> F.Column:
-    """A word as 4 bits of shortness and 55 of its hash, of which the upper 16 are its bucket."""
-    short = (F.lit(15) - F.least(F.lit(15), F.length(word))).cast("long")
-    return F.shiftrightunsigned(F.xxhash64(word), 9).bitwiseOR(F.shiftleft(short, 55))
+def _spaced(text: F.Column) -> F.Column:
+    """text with a space for each other blank but the newline, so that words stand between spaces."""
+    odd = F.lit(False)
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
-def _bucket(plain: F.Column) -> F.Column:
-    return F.shiftrightunsigned(plain, 39).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")
+def _split(spaced: F.Column) -> F.Column:
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _split(text: F.Column) -> F.Column:
-    return F.array_remove(F.split(text, BLANKS), "")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(d, th, text): d is the doc_id, least of all if null; th, the text's hash, tells texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE).cast("long")).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _shares(docs: DataFrame) -> str:
-    """For each bucket of word hashes a level from 0 to 15, the power of two of its share in all words; by commas."""
-    words = docs.select(F.explode(_split(F.col("text").cast("string"))).alias("w"))
-    counts = stage(words.select(_bucket(_plain(F.col("w"))).alias("b")).groupBy("b").count(), "shares")
-    total = counts.agg(F.sum("count")).first()[0] or 1
-    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.col("count") / F.lit(float(total)) * F.lit(float(1 << 20)))))).cast("int")
-    table = ["0"] * _BUCKETS
-    # One row for each bucket that has words: as many as there are buckets at most.
-    for b, n in counts.select("b", level).collect():
-        table[b] = str(n)
-    return ",".join(table)
+def _lines(rows: DataFrame) -> DataFrame:
+    """rows(d, th, text) to (d, th, line, t): the lines with words; t has spaces for blanks."""
+    lines = rows.select("d", "th", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "t"))
+    return lines.where(F.trim("t") != "")
 
 
-def _words(text: F.Column, table: str) -> F.Column:
-    """The sorted set of a line's words: each is 4 bits of rarity before what _plain() gives."""
-    levels = F.split(F.lit(table), ",").cast("array<long>")  # a constant: folded before it runs
-    ranked = F.transform(F.transform(_split(text), _plain), lambda x: x.bitwiseOR(F.shiftleft(F.get(levels, _bucket(x)), 59)))
-    return F.sort_array(F.array_distinct(ranked))
+def _shares(docs: DataFrame) -> list[int]:
+    """For each bucket of word hashes 0, or a level up to 31: twice the binary logarithm of how many times the mean it holds."""
+    spaced = F.replace(_spaced(F.col("text").cast("string")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> ''")
+    counts = stage(words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - _BITS).alias("b")).groupBy("b").count(), "shares")
+    mean = (counts.agg(F.sum("count")).first()[0] or 0) / _BUCKETS
+    table = [0] * _BUCKETS
+    # A row for each bucket at most; those that hold little more than the mean stay at 0.
+    for b, n in counts.where(F.col("count") > mean).collect():
+        table[b] = min((1 << _LEVELS) - 1, 1 + int(2 * math.log2(n / mean)))
+    discard(counts)
+    return table
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, t) of the lines with words: th tells texts of one doc_id apart, t is the line's text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(WORD))
+def _ranks(spaced: F.Column, table: list[int]) -> F.Column:
+    """The sorted set of a line's words: each is its level before the rest of its hash."""
+    first = ",".join(str(x << (63 - _LEVELS)) for x in table)
+    levels = F.split(F.lit(first), ",").cast("array<long>")  # a constant: folded before it runs
+    hashes = F.array_distinct(F.transform(_split(spaced), lambda x: F.xxhash64(x)))
+    level = lambda x: F.get(levels, F.shiftrightunsigned(x, 64 - _BITS).cast("int"))
+    return F.sort_array(F.transform(hashes, lambda x: level(x).bitwiseOR(F.shiftrightunsigned(x, 1 + _LEVELS))))
 
 
-def line_classes(docs: DataFrame, table: str, num: int = 4, den: int = 5) -> DataFrame:
-    """One row for each distinct set of words: ord (numbers in the order of first occurrence), doc_id, th, line (where it
-    first stands), n (size), prefix (its first words by rarity), sig (parity bits)."""
+def line_classes(docs: DataFrame, table: list[int], num: int = 4, den: int = 5) -> DataFrame:
+    """One row for each distinct set of words: id (any number of its own), d, th, line (where it first stands), n (size),
+    prefix (its first words by rarity), sig (parity bits)."""
+    rows = _lines(_keyed(docs)).select("d", "th", "line", _ranks(F.col("t"), table).alias("w"))
     size = F.size("w")
     prefix = F.slice("w", 1, size - F.floor((size * num + den - 1) / F.lit(den)).cast("int") + 1)
-    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = _lines(docs).select("doc_id", "th", "line", _words(F.col("t"), table).alias("w"))
-    keyed = rows.select(F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), size.alias("n"), F.struct("doc_id", "th", "line", prefix.alias("prefix"), parity.alias("sig")).alias("at"))
+    one = F.lit(1).cast("long")
+    # A shift counts modulo 64, so the low bits of a rank, all hash, pick the parity bit.
+    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    keyed = rows.select(F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), "w").alias("k2"), size.alias("n"), F.struct("d", "th", "line", prefix.alias("prefix"), parity.alias("sig")).alias("at"))
     first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("n", "at.*")
-    order = ["doc_id", "th", "line"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = first.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return stage(ranged.withColumn("ord", F.monotonically_increasing_id()), "classes")
+    return stage(first.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
-def _bounds(a: str, b: str, num: int, den: int) -> F.Column:
-    """Whether postings a and b may belong to similar sets; columns np (size and place, 32 bits each) and sig have these prefixes."""
+def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(a, b), ids of classes that pass the prefix, length, position and parity filters; each pair once, a is the larger set."""
+    posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sig")
+    size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves both sides of the join.
+    sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
+    posting = posting.select(sure(F.col("word"), "word"), sure(F.col("id"), "id"), sure(size_place, "np"), sure(F.col("sig"), "sig"))
     size = lambda p: F.shiftright(F.col(p + "np"), 32)
     place = lambda p: F.col(p + "np").bitwiseAND(F.lit(0xFFFFFFFF))
-    na, nb, pa, pb = size(a), size(b), place(a), place(b)
+    small = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("id", "np", "sig")))
+    na, nb = size(""), size("b_")
+    # Least number of words that both share: ceil of t / (1 + t) of both sizes together.
     least = F.floor(((na + nb) * num + (num + den - 1)) / F.lit(num + den))
-    reach = F.least(pa, pb) + F.least(na - pa, nb - pb)
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.bit_count(F.col(a + "sig").bitwiseXOR(F.col(b + "sig"))) <= na + nb - 2 * least) & (reach >= least)
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table: str, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets are similar; sets are read again from the lines where they first stand."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-    places = classes.select("ord", "doc_id", "th", "line").join(ids, "ord", "left_semi")
-    wanted = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "ord")).alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    wanted = stage(wanted.withColumnsRenamed({"doc_id": "d", "th": "h"}).withColumn("d", F.coalesce("d", F.lit(_NONE).cast("long"))), "wanted")
-    rows = small_join(rows.withColumn("d", F.coalesce("d", F.lit(_NONE).cast("long"))), wanted, ["d", "h"], max_rows=300_000).select(F.split("text", "\n").alias("t"), F.explode("wanted").alias("at"))
-    sets = rows.select(F.col("at.ord").alias("ord"), _words(F.element_at("t", F.col("at.line") + 1), table).alias("w")).dropDuplicates(["ord"])
-    sets = stage(sets, "sets")
-    both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("w").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common * (num + den) >= (F.size("wa") + F.size("wb")) * num).select("a", "b")
-
-
-def similar_classes(docs: DataFrame, classes: DataFrame, table: str, num: int = 4, den: int = 5) -> DataFrame:
-    """(a, b): every pair of similar classes once, by ord; b is the earlier one."""
-    posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "ord", "n", "sig")
-    size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves both uses below.
-    sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
-    posting = posting.select(sure(F.col("word"), "word"), sure(F.col("ord"), "ord"), sure(size_place, "np"), sure(F.col("sig"), "sig"))
-    earlier = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("ord", "np", "sig")))
-    both = posting.join(earlier, "word").where((F.col("b_ord") < F.col("ord")) & _bounds("", "b_", num, den))
-    pairs = stage(both.select(F.col("ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "pairs")
-    release(docs.sparkSession)
-    return stage(_verified(pairs, classes, docs, table, num, den), "similar")
+    ordered = (nb < na) | ((nb == na) & (F.col("b_id") < F.col("id")))
+    reach = F.least(na - place(""), nb - place("b_"))
+    differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig")))
+    both = posting.join(small, "word").where(ordered & (nb * den >= na * num) & (reach >= least) & (differ <= na + nb - 2 * least))
+    return both.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, most_rows: int = 500_000) -> DataFrame:
+    """For each class in pairs(a, b) that are similar: id, d, th, line, links (number of similar classes) and gone (whether one
+    of them stands earlier). Words are read again from the lines where the classes first stand."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stage(classes.select("id", "d", "th", "line").join(ids, "id", "left_semi"), "wanted")
+    rows, place = _keyed(docs), ["d", "th", "line"]
+    # Rows of 28 bytes each: most_rows bounds what is broadcast.
+    if wanted.limit(most_rows + 1).count() <= most_rows:
+        rows = rows.join(F.broadcast(wanted.select("d").distinct()), "d", "left_semi")
+        found = _lines(rows).join(F.broadcast(wanted), place)
+    else:
+        found = _lines(rows).join(wanted, place)
+    sets = stage(found.dropDuplicates(["id"]), "sets")
+    side = lambda p: sets.select(F.col("id").alias(p), F.struct(*place).alias(f"{p}_at"), F.array_distinct(_split(F.col("t"))).alias(f"{p}_w"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_w", "b_w"))
+    similar = both.where(common * (num + den) >= (F.size("a_w") + F.size("b_w")) * num)
+    end = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"{x}_at").alias("at"), (F.col(f"{x}_at") > F.col(f"{y}_at")).alias("later"))
+    ends = similar.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.id", "e.at.*", "e.later")
+    out = stage(ends.groupBy("id", *place).agg(F.count("*").alias("links"), F.max(F.col("later").cast("int")).alias("gone")), "similar")
+    discard(wanted, sets)
+    return out
 
 
 def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, th, kept, links) for the texts where a class first stands: the numbers (from 0) of the lines that stay of those
+    """(d, th, kept, links) for the texts where a class first stands: the numbers (from 0) of the lines that stay of those
     with words, and (line, n) for each line that is the first of a class with n > 0 links to similar classes.
 
     A line stays if none of the lines before it (smaller doc_id, th, line) has a set of words of Jaccard similarity
-    num / den or more; all lines are judged on the input. th is the text's hash: rows that repeat a doc_id and text are
-    one document.
+    num / den or more; all lines are judged on the input. d is the doc_id, th the text's hash: rows that repeat a doc_id and
+    text are one document.
     """
-    table = _shares(docs)
-    classes = line_classes(docs, table, num, den)
+    classes = line_classes(docs, _shares(docs), num, den)
+    release(docs.sparkSession)
+    pairs = stage(candidate_pairs(classes, num, den), "pairs")
+    release(docs.sparkSession)
+    linked = _verified(pairs, classes, docs, num, den)
+    discard(pairs)
     release(docs.sparkSession)
-    pairs = similar_classes(docs, classes, table, num, den)
-    ends = pairs.select(F.col("a").alias("ord"), F.lit(1).alias("gone")).union(pairs.select("b", F.lit(0)))
-    ends = ends.groupBy("ord").agg(F.count("*").alias("links"), F.max("gone").alias("gone"))
-    rows = classes.select("ord", "doc_id", "th", "line").join(ends, "ord", "left")
-    kept = F.when(F.coalesce("gone", F.lit(0)) == 0, F.col("line"))
-    links = F.when(F.col("links") > 0, F.struct("line", F.col("links").alias("n")))
-    return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(kept)).alias("kept"), F.sort_array(F.collect_list(links)).alias("links"))
+    rows = classes.select("d", "th", "line", F.lit(None).cast("long").alias("links"), F.lit(0).alias("gone"))
+    rows = rows.union(linked.select("d", "th", "line", "links", "gone"))
+    first, gone = (F.collect_list(F.when(c, F.col("line"))) for c in (F.col("links").isNull(), F.col("gone") == 1))
+    links = F.collect_list(F.when(F.col("links") > 0, F.struct("line", F.col("links").alias("n"))))
+    return rows.groupBy("d", "th").agg(F.sort_array(F.array_except(first, gone)).alias("kept"), F.sort_array(links).alias("links"))
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -140,13 +158,14 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     links ((line, n): a line where a class first stands, which is the class's id, and its number of similar classes, if any).
 
     Lines without words always stay. Null texts have no lines; empty ones have one, without words. Null doc_ids stand
-    before all others. Other columns are not read.
+    before all others. Texts are read whole, however long; rows that repeat doc_id and text are one document and give
+    equal rows; of equal lines the earliest stays. An empty table gives no rows. Other columns are not read.
     """
     kept = kept_lines(docs, num, den)
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("d", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("t"))
-    full = F.filter(F.transform("t", lambda x, i: F.when(x.rlike(WORD), i)), lambda x: x.isNotNull())
-    rows = rows.select("d", "h", F.coalesce(F.size(full), F.lit(0)).alias("full"), full.alias("lines"), F.when(F.col("t").isNull(), 0).otherwise(F.size("t")).cast("long").alias("n_lines"))
-    both = rows.join(kept, rows.d.eqNullSafe(kept.doc_id) & (rows.h == kept.th), "left")
-    removed = F.coalesce(F.array_except("lines", F.coalesce("kept", F.array().cast("array<int>"))), F.array().cast("array<int>"))
-    return both.select(F.col("d").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.array().cast("array<struct<line:int,n:bigint>>")).alias("links"))
+    rows = _keyed(docs).select("d", "th", F.split(_spaced(F.col("text")), "\n").alias("t"))
+    full = F.filter(F.transform("t", lambda x, i: F.when(F.trim(x) != "", i)), lambda x: x.isNotNull())
+    rows = rows.select("d", "th", F.coalesce(full, F.array().cast("array<int>")).alias("full"), F.when(F.col("t").isNull(), 0).otherwise(F.size("t")).cast("long").alias("n_lines"))
+    both = rows.join(kept, ["d", "th"], "left")
+    removed = F.array_except("full", F.coalesce("kept", F.array().cast("array<int>")))
+    doc_id = F.when(F.col("d") != F.lit(_NONE).cast("long"), F.col("d"))
+    return both.select(doc_id.alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.array().cast("array<struct<line:int,n:bigint>>")).alias("links"))
