@@ -5,7 +5,7 @@ rarity: by how much of the corpus their hash bucket holds (in steps of the squar
 documents), then by hash; any order that all lines share gives an exact join. Of two sets of Jaccard similarity t or more, the
 larger has the first word that both share among its first n - ceil(t n) + 1, the smaller among its first
 n - ceil(2 t n / (1 + t)) + 1 (prefix filter). Lengths, the places of that word and 64 parity bits bound what they can share
-at most. What is left is verified on the words themselves, read again from the lines.
+at most; 256 parity bits of the words, read again from the lines, bound it closer. What is left is verified on the words' 64-bit hashes.
 
 All pairs of similar classes are found, also within large groups. A line is removed if an earlier one is similar; each class
 has the number of its links to other classes besides.
@@ -107,9 +107,18 @@ def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     return both.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
+def _parities(sets: DataFrame) -> DataFrame:
+    """sets(id, t) to (id, n, s0 to s3): the number of a line's words and 256 bits, each the parity of the words dealt to it."""
+    words = sets.select("id", F.explode(F.array_distinct(_split(F.col("t")))).alias("x")).select("id", F.xxhash64("x").alias("h"))
+    slot = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(3))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    parts = [F.bit_xor(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(4)]
+    return words.groupBy("id").agg(F.count("*").alias("n"), *parts)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, most_rows: int = 500_000) -> DataFrame:
     """For each class in pairs(a, b) that are similar: id, d, th, line, links (number of similar classes) and gone (whether one
-    of them stands earlier). Words are read again from the lines where the classes first stand."""
+    of them stands earlier). Words are read again from the lines where the classes first stand, and compared by 64-bit hashes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = stage(classes.select("id", "d", "th", "line").join(ids, "id", "left_semi"), "wanted")
     rows, place = _keyed(docs), ["d", "th", "line"]
@@ -119,15 +128,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
         found = _lines(rows).join(F.broadcast(wanted), place)
     else:
         found = _lines(rows).join(wanted, place)
-    sets = stage(found.dropDuplicates(["id"]), "sets")
-    side = lambda p: sets.select(F.col("id").alias(p), F.struct(*place).alias(f"{p}_at"), F.array_distinct(_split(F.col("t"))).alias(f"{p}_w"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    found = stage(found.withColumn("u", F.monotonically_increasing_id()), "found")
+    # Rows of docs that repeat give a line more than once: the first by number stands for all.
+    one = small_join(found, found.groupBy("id").agg(F.min("u").alias("u")).select("u"), ["u"], "left_semi", most_rows)
+    parities = stage(_parities(one), "parities")
+    near = pairs
+    for p in ("a", "b"):
+        near = near.join(parities.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "s0", "s1", "s2", "s3"))), p)
+    differ = sum(F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4))
+    both = F.col("a_n") + F.col("b_n")
+    near = stage(near.where(differ * (num + den) <= both * (den - num)).select("a", "b"), "near")
+    sets = one.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    hashes = F.array_distinct(F.transform(_split(F.col("t")), lambda x: F.xxhash64(x)))
+    sets = stage(sets.select("id", F.struct(*place).alias("at"), hashes.alias("w")), "sets")
+    side = lambda p: sets.select(F.col("id").alias(p), F.col("at").alias(f"{p}_at"), F.col("w").alias(f"{p}_w"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_w", "b_w"))
     similar = both.where(common * (num + den) >= (F.size("a_w") + F.size("b_w")) * num)
     end = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"{x}_at").alias("at"), (F.col(f"{x}_at") > F.col(f"{y}_at")).alias("later"))
     ends = similar.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.id", "e.at.*", "e.later")
     out = stage(ends.groupBy("id", *place).agg(F.count("*").alias("links"), F.max(F.col("later").cast("int")).alias("gone")), "similar")
-    discard(wanted, sets)
+    discard(wanted, found, parities, near, sets)
     return out
 
 
@@ -148,9 +169,11 @@ def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     release(docs.sparkSession)
     rows = classes.select("d", "th", "line", F.lit(None).cast("long").alias("links"), F.lit(0).alias("gone"))
     rows = rows.union(linked.select("d", "th", "line", "links", "gone"))
-    first, gone = (F.collect_list(F.when(c, F.col("line"))) for c in (F.col("links").isNull(), F.col("gone") == 1))
-    links = F.collect_list(F.when(F.col("links") > 0, F.struct("line", F.col("links").alias("n"))))
-    return rows.groupBy("d", "th").agg(F.sort_array(F.array_except(first, gone)).alias("kept"), F.sort_array(links).alias("links"))
+    every = rows.groupBy("d", "th").agg(F.collect_list(F.struct("line", "links", "gone")).alias("e"))
+    of = lambda keep, out: F.transform(F.filter("e", keep), out)
+    kept = F.array_except(of(lambda x: x.links.isNull(), lambda x: x.line), of(lambda x: x.gone == 1, lambda x: x.line))
+    links = of(lambda x: x.links > 0, lambda x: F.struct(x.line.alias("line"), x.links.alias("n")))
+    return every.select("d", "th", kept.alias("kept"), F.sort_array(links).alias("links"))
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
