@@ -15,16 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
+
+#: Components saturate at this, where doubles stop telling integers apart.
+MOST = 1 << 53
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v): v has floor(scale * x) of each component, x as double. Null ids or vectors, empty vectors and those with
-    null or non-finite components take no part; rows that repeat both id and v count once."""
+    """(id, v): v has floor(scale * x) of each component, no further from zero than MOST. Null ids or vectors, empty vectors and
+    those with null or non-finite components take no part; rows that repeat each count."""
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))).alias("v"))
-    return rows.where("id IS NOT NULL AND v IS NOT NULL").dropDuplicates(["id", "v"])
+    whole = lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x * F.lit(float(scale))))).cast("long")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.transform(v, whole)).alias("v"))
+    return rows.where("id IS NOT NULL AND v IS NOT NULL")
 
 
 def slices_of(values: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
@@ -116,38 +120,42 @@ def select_top(scores: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray
     return first
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 8192, block_queries: int = 64) -> DataFrame:
-    """Queries: rows whose id is divisible by every; candidates: all rows of other ids. Returns query_id, rank, id, score.
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 65_536, least_rows: int = 8192, block_queries: int = 64) -> DataFrame:
+    """Queries: rows whose id is divisible by every; candidates: all rows but the query's own. Returns query_id, rank, id, score.
+
+    Per query row, the k highest integer inner products (all, if fewer), ties to the smaller id. Rows that repeat an id, or id
+    and vector, are rows like any others: each is a candidate, and a query of its own if its id is divisible. Vectors of another
+    length than the query's aren't compared with it. Scores are exact when compared; one beyond the range of a long is
+    returned as the end of that range. An empty table gives no rows. Other columns are not read.
 
-    Per query, the k highest integer inner products (all, if fewer), ties to the smaller id. Vectors of another length
-    than the query's aren't compared with it. Queries meet candidates block by block: blocks are dealt by the ids' hash
-    and bounded in rows, whatever the ids; each pair of blocks yields at most k rows for each query, and these are ranked.
-    Two different vectors of one query id give the ranking of each as one: the k best of both.
+    Queries meet candidates block by block. Blocks are dealt by the rows' numbers and bounded in rows, whatever the ids: block_rows
+    candidates, fewer (down to least_rows) where a small table would leave tasks idle. Each pair of blocks yields at most k
+    rows for each query, and these are ranked.
     """
-    names = ["id", "v"]
-    rows = stage(quantise(vectors, id_col, vector_col, scale), "quantised")
+    spark = vectors.sparkSession
+    rows = stage(quantise(vectors, id_col, vector_col, scale).withColumn("u", F.monotonically_increasing_id()), "quantised")
+    total = rows.count()
+    block_rows = min(block_rows, max(least_rows, math.ceil(total / int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
-    def packed(df: DataFrame, size: int, prefix: str) -> tuple[DataFrame, int]:
-        total = df.count()
-        blocks = max(1, math.ceil(total / size))
+    def packed(df: DataFrame, size: int, prefix: str) -> DataFrame:
+        blocks = max(1, math.ceil(df.count() / size))
 
         def pack(pdf):
-            pdf = pdf.sort_values("id", kind="stable")
+            import pandas as pd
+
+            pdf = pdf.sort_values(["id", "u"])
             out = []
             for d, own in pdf.groupby(pdf["v"].str.len(), sort=True):
                 values = np.stack(own["v"].to_numpy()).astype("<i8")
-                out.append((int(d), len(own), own["id"].to_numpy("<i8").tobytes(), values.tobytes()))
-            import pandas as pd
-
-            return pd.DataFrame(out, columns=[f"{prefix}d", f"{prefix}n", f"{prefix}ids", f"{prefix}values"])
+                out.append((int(d), len(own), own["id"].to_numpy("<i8").tobytes(), own["u"].to_numpy("<i8").tobytes(), values.tobytes()))
+            return pd.DataFrame(out, columns=[prefix + c for c in ("d", "n", "ids", "us", "values")])
 
-        schema = f"{prefix}d int, {prefix}n int, {prefix}ids binary, {prefix}values binary"
-        dealt = df.withColumn("_b", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-        return dealt.groupBy("_b").applyInPandas(lambda pdf: pack(pdf[names]), schema).withColumn(f"{prefix}b", F.monotonically_increasing_id()), blocks
+        schema = f"{prefix}d int, {prefix}n int, {prefix}ids binary, {prefix}us binary, {prefix}values binary"
+        dealt = df.withColumn("_b", F.pmod(F.xxhash64("u"), F.lit(blocks)))
+        return dealt.groupBy("_b").applyInPandas(lambda pdf: pack(pdf[["id", "v", "u"]]), schema).withColumn(f"{prefix}b", F.monotonically_increasing_id())
 
-    candidates, _ = packed(rows, block_rows, "c")
-    queries, _ = packed(rows.where(F.col("id") % every == 0), block_queries, "q")
-    candidates, queries = stage(candidates, "slices"), stage(queries, "queries")
+    candidates, queries = stage(packed(rows, block_rows, "c"), "slices"), stage(packed(rows.where(F.col("id") % every == 0), block_queries, "q"), "queries")
+    discard(rows)
     # Both sides are blocks now. Each block of queries is sent to each block of candidates, by the block's number.
     numbers = F.sequence(F.lit(0), F.lit(max(0, candidates.count() - 1)))
     places = candidates.select("cb").withColumn("place", F.row_number().over(Window.orderBy("cb")) - 1)
@@ -155,34 +163,33 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     pairs = candidates.join(places, "cb").join(sent, "place").where("cd = qd")
 
     def run(batches):
-        kept = (None, None, None)
+        kept = (None, None)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["cids"], "<i8")
+                ids, us = np.frombuffer(row["cids"], "<i8"), np.frombuffer(row["cus"], "<i8")
                 if kept[0] != row["cb"]:
-                    values = np.frombuffer(row["cvalues"], "<i8").reshape(row["cn"], row["cd"])
-                    kept = (row["cb"], slices_of(values), values)
-                slices, values = kept[1:]
-                words = -(-len(ids) // 64)
+                    kept = (row["cb"], slices_of(np.frombuffer(row["cvalues"], "<i8").reshape(row["cn"], row["cd"])))
+                slices, words = kept[1], -(-len(ids) // 64)
                 everyone = np.packbits(np.pad(np.ones(len(ids), np.uint8), (0, 64 * words - len(ids))), bitorder="little").view("<u8")
-                own_ids = np.frombuffer(row["qids"], "<i8")
                 own = np.frombuffer(row["qvalues"], "<i8").reshape(row["qn"], row["qd"])
-                cols: list[list] = [[], [], []]
-                for q, vector in zip(own_ids.tolist(), own.tolist(), strict=True):
+                cols: list[list] = [[] for _ in range(5)]
+                for q, u, vector in zip(np.frombuffer(row["qids"], "<i8").tolist(), np.frombuffer(row["qus"], "<i8").tolist(), own.tolist(), strict=True):
                     live = everyone
-                    low, high = np.searchsorted(ids, [q, q + 1])
-                    if low < high:
+                    for at in np.flatnonzero(us == u).tolist():
                         live = everyone.copy()
-                        for at in range(low, high):
-                            live[at >> 6] &= ~np.uint64(1 << (at & 63))
+                        live[at >> 6] &= ~np.uint64(1 << (at & 63))
                     scores, offset = score_slices(slices, vector, words)
                     best = select_top(scores, live, k)
-                    value = sum(((s[best >> 6] >> (best & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << e for e, s in enumerate(scores)), np.zeros(len(best), np.int64)) - offset
-                    cols[0] += [q] * len(best)
-                    cols[1] += ids[best].tolist()
-                    cols[2] += value.tolist()
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["query_id", "id", "score"])
-
-    found = pairs.select("cb", "cd", "cn", "cids", "cvalues", "qd", "qn", "qids", "qvalues").mapInArrow(run, "query_id long, id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+                    # Sums of up to 2**20 products: whole numbers of any size, in two halves for the ranking of all blocks.
+                    value = [sum(int(s[at >> 6] >> np.uint64(at & 63) & np.uint64(1)) << e for e, s in enumerate(scores)) - offset for at in best.tolist()]
+                    for c, x in zip(cols, ([q] * len(best), [u] * len(best), ids[best].tolist(), [x >> 64 for x in value], [(x & (1 << 64) - 1) - (1 << 63) for x in value]), strict=True):
+                        c += x
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["query_id", "u", "id", "high", "low"])
+
+    columns = ["cb", "cd", "cn", "cids", "cus", "cvalues", "qd", "qn", "qids", "qus", "qvalues"]
+    found = pairs.select(*columns).mapInArrow(run, "query_id long, u long, id long, high long, low long")
+    w = Window.partitionBy("u").orderBy(F.desc("high"), F.desc("low"), "id")
+    # The low half was moved down by 2**63: a score in the range of a long has a high half of 0 or -1 that agrees with it.
+    low = F.col("low").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    score = F.when(F.col("high") == F.shiftright(low, 63), low).otherwise(F.when(F.col("high") < 0, F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1)).cast("long"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", score.alias("score"))

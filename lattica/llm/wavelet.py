@@ -1,14 +1,18 @@
 """Token ids in succinct shards: a wavelet matrix for each run of documents, kept in one compressed file image.
 
-File image (version 1, little-endian): the magic bytes, then a header of unsigned 64-bit numbers (documents, tokens,
-planes, and the stored length of each section), then the sections, each compressed with zstandard on its own: document
-ids (signed 64-bit), a byte for each that is 1 where the id is null, document lengths (unsigned 64-bit), and for each
-plane its bits. A plane's zeros count and its rank directory follow from its bits and are rebuilt when it is opened.
+File image (version 2, little-endian): the magic bytes, then a header of unsigned 64-bit numbers (documents, tokens,
+planes, and the stored length of each of three sections), then the sections, each compressed with zstandard: document
+ids (signed 64-bit), a byte for each that is 1 where the id is null, and document lengths (unsigned 64-bit). For each plane
+follow, for each chunk of 65,536 bits, the ones in it and its stored length (unsigned 64-bit each: the directory for rank and
+select), and after all these the chunks, plane by plane, each compressed on its own, or as it is where that isn't shorter.
+So an access, a count or a lookup opens only the chunks that it needs.
 Planes run from the most significant bit down; below each, ids with a zero stand before ids with a one, in order.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -19,53 +23,84 @@ from pyspark.sql import functions as F
 
 from .common import chunks, kept_by_worker, small_join, work_dir
 
-MAGIC = b"LATWM001"
-_BLOCK = 8  # 64-bit words for one entry of a rank directory
+MAGIC = b"LATWM002"
+_SHIFT = 16  # bits of a position inside a chunk
+_BYTES = 1 << _SHIFT >> 3
+_BLOCK = 8  # 64-bit words for one entry of a chunk's own rank directory
 
 
 class _Plane:
-    """Bits with rank and select in a few steps; all arguments and results may be arrays."""
+    """Bits with rank and select in a few steps; all arguments and results may be arrays. Chunks are opened when needed."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        self.n, self.packed = n, packed
-        self._words = None
+    def __init__(self, n: int, ones: list[int], stored: list):
+        """ones: in each chunk; stored: each chunk's bits, packed (an array) or as in a file image (bytes)."""
+        self.n, self.stored = n, stored
+        self.before = np.concatenate(([0], np.cumsum(ones, dtype=np.int64)))
+        self.zeros = n - int(self.before[-1])
+        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _index(self) -> None:
-        if self._words is None:
-            pad = -len(self.packed) % (8 * _BLOCK) + 8 * _BLOCK
-            self._words = np.concatenate([self.packed, np.zeros(pad, np.uint8)]).view("<u8")
-            ones = np.bitwise_count(self._words).astype(np.int64).reshape(-1, _BLOCK)
-            self._before = np.concatenate(([0], np.cumsum(ones.sum(1))))
-            self.ones = int(self._before[-1])
-            self.zeros = self.n - self.ones
+    @classmethod
+    def of(cls, bits: np.ndarray) -> _Plane:
+        stored = [np.packbits(bits[i : i + (1 << _SHIFT)], bitorder="little") for i in range(0, len(bits), 1 << _SHIFT)]
+        ones = [np.count_nonzero(bits[i : i + (1 << _SHIFT)]) for i in range(0, len(bits), 1 << _SHIFT)]
+        return cls(len(bits), ones, stored)
+
+    def packed(self, c: int) -> np.ndarray:
+        """The bits of chunk c."""
+        own = self.stored[c]
+        if isinstance(own, np.ndarray):
+            return own
+        size = (min(self.n, (c + 1) << _SHIFT) - (c << _SHIFT) + 7) >> 3
+        return np.frombuffer(own if len(own) == size else zstandard.ZstdDecompressor().decompress(own), np.uint8)
+
+    def _chunk(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words, ones before each block of words), with an empty block behind."""
+        if c not in self._open:
+            own = self.packed(c) if c < len(self.stored) else np.zeros(0, np.uint8)
+            words = np.concatenate([own, np.zeros(-len(own) % (8 * _BLOCK) + 8 * _BLOCK, np.uint8)]).view("<u8")
+            ones = np.bitwise_count(words).astype(np.int64).reshape(-1, _BLOCK).sum(1)
+            self._open[c] = words, np.cumsum(ones) - ones
+        return self._open[c]
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.n, bitorder="little").view(bool)
+        parts = [self.packed(c) for c in range(len(self.stored))]
+        return np.unpackbits(np.concatenate(parts) if parts else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
 
-    def bit(self, i):
-        self._index()
+    def _by_chunk(self, i, inside):
+        """inside(words, blocks, positions in the chunk, chunk) for each chunk that positions i lie in, put together."""
         i = np.asarray(i, np.int64)
-        return (self._words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+        flat, out = i.ravel(), np.zeros(i.size, np.int64)
+        where = flat >> _SHIFT
+        for c in np.unique(where).tolist():
+            own = where == c
+            out[own] = inside(*self._chunk(c), flat[own] & ((1 << _SHIFT) - 1), c)
+        return out.reshape(i.shape)
+
+    def bit(self, i):
+        return self._by_chunk(i, lambda words, _, at, c: (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64))
 
     def rank1(self, i):
         """Ones before position i (0 to n)."""
-        self._index()
-        i = np.asarray(i, np.int64)
-        word, block = i >> 6, (i >> 6) // _BLOCK
-        out = self._before[block]
-        for k in range(_BLOCK - 1):
-            at = block * _BLOCK + k
-            out = out + np.where(at < word, np.bitwise_count(self._words[np.minimum(at, len(self._words) - 1)]), 0)
-        low = self._words[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return out + np.bitwise_count(low)
+
+        def inside(words, blocks, at, c):
+            word, block = at >> 6, (at >> 6) // _BLOCK
+            out = self.before[min(c, len(self.before) - 1)] + blocks[block]
+            for k in range(_BLOCK - 1):
+                out = out + np.where(block * _BLOCK + k < word, np.bitwise_count(words[block * _BLOCK + k]), 0)
+            return out + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+        return self._by_chunk(i, inside)
 
     def rank0(self, i):
         return np.asarray(i, np.int64) - self.rank1(i)
 
     def select(self, k, bit: int):
-        """Position of the k-th (from 0) one or zero, by bisection over rank; k must be in range."""
+        """Position of the k-th (from 0) one or zero; k must be in range. The directory names the chunk, bisection over rank
+        the place in it."""
         k = np.asarray(k, np.int64)
-        low, high = np.zeros_like(k), np.full_like(k, self.n)
+        ahead = self.before if bit else np.minimum(np.arange(len(self.before)) << _SHIFT, self.n) - self.before
+        c = np.searchsorted(ahead, k, "right") - 1
+        low, high = c << _SHIFT, np.minimum((c + 1) << _SHIFT, self.n)
         rank = self.rank1 if bit else self.rank0
         while np.any(low + 1 < high):
             mid = (low + high) >> 1
@@ -87,7 +122,7 @@ class WaveletMatrix:
         planes = []
         for b in range(depth - 1, -1, -1):
             bits = (x & x.dtype.type(1 << b)) != 0
-            planes.append(_Plane(np.packbits(bits, bitorder="little"), len(x)))
+            planes.append(_Plane.of(bits))
             x = np.concatenate((x[~bits], x[bits]))
         return cls(planes, len(ids))
 
@@ -99,8 +134,7 @@ class WaveletMatrix:
         depth = len(self.planes)
         x = np.zeros(self.n, np.uint16 if depth <= 16 else np.uint32)
         for b, plane in enumerate(reversed(self.planes)):
-            bits = plane.bits()
-            zeros = self.n - np.count_nonzero(bits)
+            bits, zeros = plane.bits(), plane.zeros
             up = np.empty_like(x)
             up[~bits] = x[:zeros]
             up[bits] = x[zeros:] | x.dtype.type(1 << b)
@@ -140,7 +174,6 @@ class WaveletMatrix:
         depth = len(self.planes)
         for k in range(depth - 1, -1, -1):
             plane, bit = self.planes[k], symbol >> (depth - 1 - k) & 1
-            plane._index()
             at = plane.select(at - plane.zeros if bit else at, bit)
         return at
 
@@ -170,34 +203,54 @@ class Shard:
         pack = zstandard.ZstdCompressor(level=1).compress
         null = np.array([x is None for x in self.doc_ids], np.uint8)
         ids = np.array([x or 0 for x in self.doc_ids], "<i8")
-        sections = [pack(x.tobytes()) for x in (ids, null, self.lengths.astype("<u8"), *(p.packed for p in self.matrix.planes))]
+        sections = [pack(x.tobytes()) for x in (ids, null, self.lengths.astype("<u8"))]
         head = [len(self.doc_ids), self.matrix.n, len(self.matrix.planes), *map(len, sections)]
-        return b"".join([MAGIC, np.array(head, "<u8").tobytes(), *sections])
+        directory, stored = [], []
+        for plane in self.matrix.planes:
+            for c in range(len(plane.stored)):
+                own = plane.packed(c).tobytes()
+                short = pack(own)
+                stored.append(short if len(short) < len(own) else own)
+                directory += [int(plane.before[c + 1] - plane.before[c]), len(stored[-1])]
+        return b"".join([MAGIC, np.array(head, "<u8").tobytes(), *sections, np.array(directory, "<u8").tobytes(), *stored])
 
     @classmethod
     def from_bytes(cls, image: bytes) -> Shard:
+        """Opens an image; planes stay compressed until they are asked."""
         if image[:8] != MAGIC:
             raise ValueError("not a token shard")
-        _, tokens, depth = np.frombuffer(image, "<u8", 3, 8).tolist()
-        sizes = np.frombuffer(image, "<u8", 3 + depth, 32).tolist()
-        open_, at, parts = zstandard.ZstdDecompressor().decompress, 32 + 8 * len(sizes), []
+        _, tokens, depth, *sizes = np.frombuffer(image, "<u8", 6, 8).tolist()
+        open_, at, parts = zstandard.ZstdDecompressor().decompress, 56, []
         for n in sizes:
-            parts.append(open_(image[at : at + n]) if n else b"")
+            parts.append(open_(image[at : at + n]))
             at += n
+        per = -(-tokens >> _SHIFT) if tokens else 0
+        directory = np.frombuffer(image, "<u8", 2 * per * depth, at).astype(np.int64).reshape(depth, per, 2)
+        at += directory.size * 8
+        view, planes = memoryview(image), []
+        for own in directory:
+            stored = []
+            for n in own[:, 1].tolist():
+                stored.append(view[at : at + n])
+                at += n
+            planes.append(_Plane(tokens, own[:, 0].tolist(), stored))
         ids, null = np.frombuffer(parts[0], "<i8").tolist(), parts[1]
-        planes = [_Plane(np.frombuffer(x, np.uint8), tokens) for x in parts[3:]]
         return cls([None if z else x for x, z in zip(ids, null, strict=True)], np.frombuffer(parts[2], "<u8").astype(np.int64), WaveletMatrix(planes, tokens))
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops blanks and splits at them, remembering the ids of words.
 
-    Valid for tokenizers whose normalizer lower-cases and, like the pre-tokenizer, never joins characters across ASCII
-    blanks, which splits runs of letters from runs of ASCII punctuation, and whose model ends each pre-token with end_mark.
-    Words of letters with punctuation (no apostrophe) at their end or none are taken apart, their letters encoded many at a
-    time and cut at end_mark; all others are encoded one by one. Memory is bounded: beyond limit words, all are forgotten.
+    Valid for tokenizers whose normalizer composes (NFC) and lower-cases and, like the pre-tokenizer, never joins characters
+    across ASCII blanks, which splits runs of letters from runs of ASCII punctuation, and whose model ends each pre-token with
+    end_mark. Whether a tokenizer is one is looked up in its description and tried on PROBES; any other encodes whole texts.
+    Words that are letters once normalised, with punctuation (no apostrophe) at their end or none, are taken apart, their letters
+    encoded many at a time and cut at end_mark; all others are encoded one by one. Memory is bounded: beyond limit words, all
+    are forgotten.
     """
 
+    PROBES = ("The cat's tail, it\u2019s   on\tthe mat.\nEnd!", "\u0130@ \u0958. \u00dcn\u00ef na\u00efve; Stra\u00dfe! \u0391\u03a3, e\u0301a?", "don't WE'LL 12,5 x_1 (a) $%& __a__ end", "a.b c\u00a0d\u3000e\x85f <|x|>")
+
     PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
     def __init__(self, path: str, end_id: int = 1, end_mark: str = "</w>", limit: int = 700_000):
@@ -209,6 +262,18 @@ class WordEncoder:
         self.is_end[[i for x, i in vocab.items() if x.endswith(end_mark)]] = True
         self.end_id, self.limit = end_id, limit
         self._forget()
+        self.by_word = self._described(end_mark)
+        if self.by_word:
+            lengths, ids = self.documents(list(self.PROBES))
+            told = [self.encode(x) + [end_id] for x in self.PROBES]
+            self.by_word = lengths.tolist() == list(map(len, told)) and ids.tolist() == [i for x in told for i in x]
+            self._forget()
+
+    def _described(self, end_mark: str) -> bool:
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told["normalizer"] or {}).get("normalizers", [told["normalizer"] or {}])
+        split = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"] or {}])
+        return {x.get("type") for x in steps} == {"NFC", "Replace", "Lowercase"} and split[0].get("type") == "Split" and told["model"].get("end_of_word_suffix") == end_mark
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -261,7 +326,7 @@ class WordEncoder:
             core = word.rstrip(self.PUNCTUATION)
             if core.isalpha():
                 lower = core.lower()
-            elif core and core.decode().isalpha():
+            elif core and unicodedata.normalize("NFC", core.decode()).lower().isalpha():
                 lower = core
             else:
                 odd.append(word)
@@ -285,6 +350,9 @@ class WordEncoder:
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths with the end id, ids of all one after the other)."""
+        if not self.by_word:
+            own = [self.encode(t or "") + [self.end_id] for t in texts]
+            return np.fromiter(map(len, own), np.int64, len(own)), np.array([i for x in own for i in x], np.uint32)
         words, counts = [], []
         for text in texts:
             own = text.encode("utf-8", "replace").split() if text else []
@@ -308,6 +376,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
 
     Null texts are empty documents of the end id alone; null doc_ids come first; rows of one doc_id are ordered by their
     texts' hash, exact repeats stay repeats. A document is never split over shards; one of more ids is a shard of its own.
+    Texts are read whole. An empty table writes no shard. Other columns are not read.
     path becomes a Parquet folder of one row for each shard: part and seq (its place in the order), counts and the file image.
     """
 
