@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
+_RANGE = 1 << 30
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -28,12 +31,27 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def sample_by_label(rows: DataFrame, label: str, per_label: int, columns: list[str]) -> list:
-    """At most per_label rows of each label, those of the smallest hash of doc_id, so that reruns agree."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    slim = rows.select("doc_id", label).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    chosen = slim.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_label).select("doc_id").distinct()
+    """At most per_label rows of each label, those of the smallest hash of doc_id, so that reruns agree.
+
+    A label's count gives the part of the hash's range that should hold twice as many ids as are wanted; it is widened where it
+    doesn't. So no task gathers a label, however many rows it has; the driver gets some times per_label ids of each.
+    """
+    slim = rows.select("doc_id", F.col(label).alias("y")).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r.y: r.n for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    place, open_, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE)), {y: min(_RANGE, 2 * per_label * _RANGE // n + 1) for y, n in counts.items()}, []
+    while open_:
+        inside = reduce(or_, ((F.col("y") == F.lit(y)) & (place < most) for y, most in open_.items()))
+        found: dict = {y: [] for y in open_}
+        for r in slim.where(inside).select("y", place.alias("p"), "doc_id").distinct().collect():
+            found[r.y].append((r.p, r.doc_id))
+        done = [y for y, most in open_.items() if len(found[y]) >= per_label or most == _RANGE]
+        chosen += [i for y in done for _, i in sorted(found[y])[:per_label]]
+        open_ = {y: min(_RANGE, 4 * most) for y, most in open_.items() if y not in done}
+    if not chosen:
+        return []
+    ids = rows.sparkSession.createDataFrame([(int(i),) for i in set(chosen)], "doc_id long")
     # per_label rows of each label: few, so the texts are met by a broadcast.
-    return one_each(rows.where(F.col(label).isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select(*columns))
+    return one_each(rows.where(F.col(label).isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select(*columns))
 
 
 def one_each(rows: DataFrame) -> list:
@@ -282,7 +300,8 @@ def identify(docs: DataFrame, crf: Crf) -> DataFrame:
     """docs(doc_id, text, ...) to one row each: doc_id, held_out, lang_pred, score.
 
     lang_pred is a learned label, or und (score 0) if the text is null, empty or without letters, or nothing could be learned.
-    Whole texts are read, however long; rows that repeat are predicted alike; other columns are not read.
+    Of labels with equal posteriors the first by code point is predicted. Whole texts are read, however long; rows that repeat are
+    predicted alike; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches):

@@ -9,15 +9,15 @@ one threshold (0.3) holds for all.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_join, trim
+from .common import chunks, small_join, stage, trim
 from .language import held_out, one_each, sample_by_label
 
 BUCKETS = 1 << 15
@@ -26,17 +26,34 @@ WIDTHS = (1, 2, 3)
 #: Empty words after each text: a filter over empty words alone counts, one that reaches the next text never does.
 PAD = 2 * (max(WIDTHS) - 1)
 THRESHOLD = 0.3
+#: What isn't a letter, but for the newline between words.
+_OTHERS = re.compile(r"[^\w\n]+|[\d_]+")
 #: Steps of a logit in the counts that thresholds are set from.
 STEP = 1024
 
 
-def buckets_of(word: bytes) -> tuple[int, ...]:
-    """1 + len(PREFIXES) bucket numbers: of the word's letters and of its beginnings (0, the empty bucket, for none)."""
-    text = "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
-    if not text:
-        return (0,) * (1 + len(PREFIXES))
-    hashed = [text] + [text[:n] + "*" if len(text) >= n else None for n in PREFIXES]
-    return tuple(1 + xxhash.xxh32_intdigest(x.encode(), 9) % (BUCKETS - 1) if x else 0 for x in hashed)
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    """For each word (without blanks) 1 + len(PREFIXES) bucket numbers: of its lower-cased letters and of their beginnings of so
+    many bytes (0, the empty bucket, for none)."""
+    letters = _OTHERS.sub("", b"\n".join(words).decode("utf-8", "replace").lower()).encode()
+    data = np.frombuffer(letters + b"\n", np.uint8)
+    ends = np.flatnonzero(data == 10)
+    sizes = np.diff(ends, prepend=-1) - 1
+    starts = ends - sizes
+    power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0x01000193, np.uint32), dtype=np.uint32)
+    value = (data + np.uint32(1)) * power[np.arange(len(data)) - np.repeat(starts, sizes + 1)]
+    value[ends] = 0
+    hashes, sums = [np.add.reduceat(value, starts, dtype=np.uint32)], np.zeros(len(words), np.uint32)
+    out = np.zeros((len(words), 1 + len(PREFIXES)), np.int64)
+    for j in range(max(PREFIXES)):
+        sums = sums + np.where(sizes > j, value[np.minimum(starts + j, len(value) - 1)], 0).astype(np.uint32)
+        if j + 1 in PREFIXES:
+            hashes.append(sums)
+    for k, (h, least) in enumerate(zip(hashes, (1, *PREFIXES), strict=True)):
+        h = (h ^ np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        out[:, k] = np.where(sizes >= least, 1 + (h ^ h >> np.uint32(16)) % np.uint32(BUCKETS - 1), 0)
+    return out
 
 
 class TextCnn:
@@ -200,7 +217,7 @@ class Scorer:
             self._forget()
             new = set(words) - self.places.keys()
         if new:
-            ids = np.array([buckets_of(w) for w in new])
+            ids = buckets_of(list(new))
             rows = self.cnn.embedding[ids].sum(1) @ self.flat
             rows = np.concatenate((rows, self.cnn.language_weights[ids[:, 0]]), 1)
             self.places.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
@@ -230,10 +247,9 @@ class Scorer:
 
 
 def encode(text: str) -> np.ndarray:
-    cache: dict[bytes, tuple] = {}
-    rows = [cache[w] if w in cache else cache.setdefault(w, buckets_of(w)) for w in text.encode("utf-8", "replace").split()]
-    rows += [(0,) * (1 + len(PREFIXES))] * PAD
-    return np.array(rows, np.int64)
+    words = text.encode("utf-8", "replace").split()
+    pad = np.zeros((PAD, 1 + len(PREFIXES)), np.int64)
+    return np.concatenate((buckets_of(words), pad)) if words else pad
 
 
 def fit(sample: list) -> tuple[TextCnn, list]:
@@ -285,8 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 900) -> TextCnn:
     own = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("text").isNotNull())
     # The ids first, then the texts of the chosen alone.
-    w_rows = rows.select("doc_id").join(own, "doc_id")
-    chosen = sample_by_label(w_rows, "toxic", per_label, ["doc_id", "toxic"])
+    labelled = stage(rows.select("doc_id").join(own, "doc_id"), "labelled")
+    chosen = sample_by_label(labelled, "toxic", per_label, ["doc_id", "toxic"])
     toxic = {r.doc_id: r.toxic for r in chosen}
     if not toxic:
         return TextCnn()
