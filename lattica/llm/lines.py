@@ -4,7 +4,7 @@ A line is the set of its words; lines of one set are a class, whose place is its
 rarity: by how much of the corpus their hash bucket holds (in steps of the square root of two, counted over all
 documents), then by hash; any order that all lines share gives an exact join. Of two sets of Jaccard similarity t or more, the
 larger has the first word that both share among its first n - ceil(t n) + 1, the smaller among its first
-n - ceil(2 t n / (1 + t)) + 1 (prefix filter). Lengths, the places of that word and 64 parity bits bound what they can share
+n - ceil(2 t n / (1 + t)) + 1 (prefix filter). Lengths, the places of that word and 128 parity bits bound what they can share
 at most; 256 parity bits of the words, read again from the lines, bound it closer. What is left is verified on the words' 64-bit hashes.
 
 All pairs of similar classes are found, also within large groups. A line is removed if an earlier one is similar; each class
@@ -75,34 +75,36 @@ def _ranks(spaced: F.Column, table: list[int]) -> F.Column:
 
 def line_classes(docs: DataFrame, table: list[int], num: int = 4, den: int = 5) -> DataFrame:
     """One row for each distinct set of words: id (any number of its own), d, th, line (where it first stands), n (size),
-    prefix (its first words by rarity), sig (parity bits)."""
+    prefix (its first words by rarity), sig and sig2 (parity bits)."""
     rows = _lines(_keyed(docs)).select("d", "th", "line", _ranks(F.col("t"), table).alias("w"))
     size = F.size("w")
     prefix = F.slice("w", 1, size - F.floor((size * num + den - 1) / F.lit(den)).cast("int") + 1)
-    one = F.lit(1).cast("long")
-    # A shift counts modulo 64, so the low bits of a rank, all hash, pick the parity bit.
-    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-    keyed = rows.select(F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), "w").alias("k2"), size.alias("n"), F.struct("d", "th", "line", prefix.alias("prefix"), parity.alias("sig")).alias("at"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    # The low bits of a rank are all hash: six pick the parity bit, the next one the half.
+    half = lambda b: F.filter("w", lambda x: x.bitwiseAND(F.lit(64)) == b)
+    parity = lambda b: F.aggregate(half(b), zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    at = F.struct("d", "th", "line", prefix.alias("prefix"), parity(0).alias("sig"), parity(64).alias("sig2"))
+    keyed = rows.select(F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), "w").alias("k2"), size.alias("n"), at.alias("at"))
     first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("n", "at.*")
     return stage(first.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """(a, b), ids of classes that pass the prefix, length, position and parity filters; each pair once, a is the larger set."""
-    posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sig")
+    posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sig", "sig2")
     size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves both sides of the join.
     sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
-    posting = posting.select(sure(F.col("word"), "word"), sure(F.col("id"), "id"), sure(size_place, "np"), sure(F.col("sig"), "sig"))
+    posting = posting.select(sure(F.col("word"), "word"), sure(F.col("id"), "id"), sure(size_place, "np"), sure(F.col("sig"), "sig"), sure(F.col("sig2"), "sig2"))
     size = lambda p: F.shiftright(F.col(p + "np"), 32)
     place = lambda p: F.col(p + "np").bitwiseAND(F.lit(0xFFFFFFFF))
-    small = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("id", "np", "sig")))
+    small = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("id", "np", "sig", "sig2")))
     na, nb = size(""), size("b_")
     # Least number of words that both share: ceil of t / (1 + t) of both sizes together.
     least = F.floor(((na + nb) * num + (num + den - 1)) / F.lit(num + den))
     ordered = (nb < na) | ((nb == na) & (F.col("b_id") < F.col("id")))
     reach = F.least(na - place(""), nb - place("b_"))
-    differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig")))
+    differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("b_sig2")))
     both = posting.join(small, "word").where(ordered & (nb * den >= na * num) & (reach >= least) & (differ <= na + nb - 2 * least))
     return both.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 

@@ -54,10 +54,13 @@ def systematic_copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float =
 
     The order is by range over all tasks, so that a source is cut into as many pieces as it needs; the pieces' counts are
     summed up before them. Null sources are a source; null sizes count as 0; repeated rows are documents of their own.
-    A source without words takes nothing. Other columns are kept.
+    A source without words takes nothing. An empty table gives no rows. Ties in size go by doc_id, then by the rows' order as
+    read. Other columns are kept, but for those named as a result, which the result replaces.
     """
-    spark = docs.sparkSession
-    held = docs.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))
+    spark, results = docs.sparkSession, {"size", "source_size", "target", "copies"}
+    # A row travels as one column, so that no name of its own can clash.
+    others = [c for c in docs.columns if c.lower() not in results]
+    held = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), F.struct(*others).alias("_row"))
     targets = stage(source_targets(held.select("source", "size"), weights, share, most), "targets")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     keyed = small_join(held.withColumn("_key", key), targets.select(key.alias("_key"), F.col("rank").alias("_rank"), "source_size", "target"), ["_key"]).drop("_key")
@@ -75,7 +78,7 @@ def systematic_copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float =
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
     at = F.col("_at") + F.col("_shift")
     copies = (F.floor(u + rate * (at + 1)) - F.floor(u + rate * at)).cast("int")
-    return rows.withColumn("copies", copies).drop("_rank", "_piece", "_at", "_shift")
+    return rows.select("_row.*", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -102,5 +105,3 @@ def mixing_sql(weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0,
         ('0x' || substr(md5('{seed}:' || coalesce(d.source, '')), 1, 7))::BIGINT / {float(1 << 28)} AS u
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, source_size, target, (floor(u + rate * place) - floor(u + rate * (place - 1)))::BIGINT AS copies FROM p"""
-
-

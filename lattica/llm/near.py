@@ -1,12 +1,15 @@
-"""Near-duplicate texts by an exact set-similarity join on shingles of five words.
-
-A text is the set of the 64-bit hashes of its shingles; texts of one set are a class. Shingles are ordered by how much of the
-corpus their hash bucket holds (counted over all texts), then by hash; any order that all texts share gives an exact join. Two
-sets of Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1 (prefix filter); sizes and the
-places of a shared shingle and 512 parity bits bound what they can share at most. What is left is verified on the whole sets.
-
-Links serve for components alone. So at each shingle a class is first put to the smallest class there; after that only
-pairs in different components are joined, all of them, as a pair inside one changes nothing.
+"""Near-duplicate texts: SimHash and Golay keys nominate, an exact set-similarity join on shingles of five words completes.
+
+A text is the set of the 64-bit hashes of its shingles; texts of one set are a class. A link is a Jaccard similarity of t or
+more, verified on the whole sets. Links serve for components alone, so they are looked for in two rounds:
+
+1. Each class is put to one class whose SimHash fingerprint over the same shingles is within two bits (found by Golay keys,
+   see simhash.py), and to the most alike of the first classes at its rare shingles. Near copies mostly meet here.
+2. Fingerprints can't promise all links, as texts of similarity 0.8 differ by some ten bits. So the prefix filter follows, for
+   classes in different components alone, as a pair inside one changes nothing. Shingles are ordered by how much of the corpus
+   their hash bucket holds (counted over all texts), then by hash; any order that all texts share gives an exact join. Of two
+   similar sets, the larger has the first shingle that both share among its first n - ceil(t n) + 1, the smaller among its first
+   n - ceil(2 t n / (1 + t)) + 1. Sizes, the places of that shingle and 512 parity bits bound what both can share at most.
 """
 
 from __future__ import annotations
@@ -17,19 +20,33 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, release, small_join, stage, words_of
+from .common import chunks, discard, release, small_join, stage, words_of
 from .components import connected_components
-from .simhash import _LOWER, shingle_hashes
+from .passages import _mix, _rolled
+from .simhash import _LOWER, near_links
 
 _BITS = 18
 _PARITY = 512
 _NONE = -(1 << 63)  # stands for a null doc_id in a join
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of the lower-cased (A to Z) text's shingles; a text of fewer words is one, one without words has none."""
-    words = words_of(text.translate(_LOWER) if text else None)
-    return np.unique(shingle_hashes(words, width)) if words else np.zeros(0, np.uint64)
+_MOST = 300_000  # rows of one or two numbers that are broadcast at most
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of lower-cased (A to Z) words; a text of fewer words is one
+    shingle, one without words has none."""
+    split = [words_of(t.translate(_LOWER) if t else None) for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    total = int(sizes.sum())
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for own in split for w in own), np.uint64, total)
+    rolled = _rolled(hashes, width) if total >= width else np.zeros(0, np.uint64)
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= width:
+            out.append(np.unique(rolled[at : at + n - width + 1]))
+        else:
+            out.append(_mix(np.array([xxhash.xxh64_intdigest(hashes[at : at + n].tobytes(), n)], np.uint64)) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -42,7 +59,7 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches):
         counts = np.zeros(1 << _BITS, np.int64)
         for (texts,) in chunks(batches, 0):
-            counts += np.bincount(_bucket(np.concatenate([shingle_set(t, width) for t in texts])), minlength=1 << _BITS)
+            counts += np.bincount(_bucket(np.concatenate(shingle_sets(texts, width))), minlength=1 << _BITS)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 1 << 16):
             yield pa.record_batch([pa.array(at[i : i + (1 << 16)]), pa.array(counts[at[i : i + (1 << 16)]])], ["b", "c"])
@@ -54,6 +71,7 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
     # A row for each bucket at most; those that hold little more than the mean stay at 0.
     for b, c in counts.where(F.col("c") >= 1.5 * mean).collect():
         table[b] = min(255, int(2 * np.log2(c / mean)))
+    discard(counts)
     return table
 
 
@@ -67,42 +85,65 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _prints(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, k, n, prefix, sig) of each row of docs: its class, the size of its set, its first shingles in the order, parity bits."""
+    """(doc_id, k, n, fp, prefix, sig) of each row of docs: its class, the size of its set, its fingerprint, its first shingles in
+    the order, parity bits."""
 
     def run(batches):
         for ids, texts in chunks(batches, 1):
-            k, n, prefix, sig = [], [], [], []
-            for t in texts:
-                own = shingle_set(t, width)
+            k, n, fp, prefix, sig = [], [], [], [], []
+            for own in shingle_sets(texts, width):
                 k.append(_class(own))
                 n.append(len(own))
+                fp.append(_fingerprint(own))
                 most = len(own) - (len(own) * num + den - 1) // den + 1 if len(own) else 0
                 prefix.append(own[np.argsort(levels[_bucket(own)], kind="stable")[:most]].view(np.int64))
                 sig.append(_parity(own))
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
             sigs = pa.ListArray.from_arrays(pa.array(range(0, (len(sig) + 1) * (_PARITY // 64), _PARITY // 64), pa.int32()), pa.array(np.concatenate(sig)))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.array(k, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists, sigs], ["doc_id", "k", "n", "prefix", "sig"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.array(k, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), lists, sigs], ["doc_id", "k", "n", "fp", "prefix", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k long, n long, prefix array<long>, sig array<long>")
+    return rows.mapInArrow(run, "doc_id long, k long, n long, fp long, prefix array<long>, sig array<long>")
+
+
+def _size(p: str):
+    return F.shiftright(F.col(p + "np"), 32)
 
 
 def _bounds(a: str, b: str, num: int, den: int):
-    """Whether postings a and b may belong to similar sets; columns np (size and place, 32 bits each) have these prefixes."""
-    size = lambda p: F.shiftright(F.col(p + "np"), 32)
+    """Whether postings a and b may be of the first shingle that two similar sets share, a the larger; columns np (size and
+    place, 32 bits each) have these prefixes."""
     place = lambda p: F.col(p + "np").bitwiseAND(F.lit(0xFFFFFFFF))
-    na, nb, pa_, pb = size(a), size(b), place(a), place(b)
-    reach = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (reach * (num + den) >= (na + nb) * num)
+    na, nb = _size(a), _size(b)
+    reach = F.least(na - place(a), nb - place(b))
+    return (nb <= na) & (nb * den >= na * num) & (reach * (num + den) >= (na + nb) * num)
+
+
+def _differ(a: str, b: str):
+    return sum(F.bit_count(F.get(a + "sig", F.lit(i)).bitwiseXOR(F.get(b + "sig", F.lit(i)))) for i in range(_PARITY // 64))
 
 
 def _alike(a: str, b: str, num: int, den: int):
     """Whether parity bits allow classes a and b to be similar; columns np and sig have these prefixes."""
-    both = F.shiftright(F.col(a + "np"), 32) + F.shiftright(F.col(b + "np"), 32)
-    differ = sum(F.bit_count(F.get(a + "sig", F.lit(i)).bitwiseXOR(F.get(b + "sig", F.lit(i)))) for i in range(_PARITY // 64))
-    return differ * (num + den) <= both * (den - num)
+    return _differ(a, b) * (num + den) <= (_size(a) + _size(b)) * (den - num)
+
+
+def _with_parities(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs(a, b) with a_np, a_sig, b_np, b_sig."""
+    slim = classes.select("k", F.shiftleft("n", 32).alias("np"), "sig")
+    for p in ("a", "b"):
+        pairs = pairs.join(slim.select(F.col("k").alias(p), F.col("np").alias(f"{p}_np"), F.col("sig").alias(f"{p}_sig")), p)
+    return pairs
 
 
 def _verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -112,20 +153,33 @@ def _verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, width: int, num
 
     def run(batches):
         for (texts,) in chunks(batches, 0):
-            sets = [shingle_set(t, width) for t in texts]
+            sets = shingle_sets(texts, width)
             ends = np.cumsum([0, *map(len, sets)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.record_batch([pa.array(np.array([_class(s) for s in sets], np.uint64).view(np.int64)), lists], ["k", "w"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE).cast("long")).alias("d"), F.col("text").cast("string").alias("text"))
-    rows = small_join(rows, wanted.select("d").distinct(), ["d"], "left_semi", max_rows=300_000).select("text")
-    sets = small_join(rows.mapInArrow(run, "k long, w array<long>"), wanted.select("k"), ["k"], "left_semi", max_rows=300_000)
+    rows = small_join(rows, wanted.select("d").distinct(), ["d"], "left_semi", _MOST).select("text")
+    sets = small_join(rows.mapInArrow(run, "k long, w array<long>"), wanted.select("k"), ["k"], "left_semi", _MOST)
     # One of each class, chosen by number: sets are large, so they aren't shuffled for it.
-    sets = stage(sets.withColumn("u", F.monotonically_increasing_id()), "sets")
-    sets = small_join(sets, sets.groupBy("k").agg(F.min("u").alias("u")).select("u"), ["u"], "left_semi", max_rows=300_000)
+    every = stage(sets.withColumn("u", F.monotonically_increasing_id()), "sets")
+    sets = small_join(every, every.groupBy("k").agg(F.min("u").alias("u")).select("u"), ["u"], "left_semi", _MOST)
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common * (num + den) >= (F.size("wa") + F.size("wb")) * num).select("a", "b")
+    out = stage(both.where(common * (num + den) >= (F.size("wa") + F.size("wb")) * num).select("a", "b"), "links")
+    discard(wanted, every)
+    release(docs.sparkSession)
+    return out
+
+
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): each class with one class of a fingerprint within two bits, if there is any."""
+    least = stage(classes.groupBy("fp").agg(F.min("k").alias("b")), "fingerprints")
+    same = classes.join(least, "fp").where("k <> b").select(F.col("k").alias("a"), "b")
+    links = near_links(least.select("fp"))
+    links = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("fp"))
+    other = links.join(least, "fp").select(F.col("a").alias("fp"), "b").join(least.withColumnRenamed("b", "a"), "fp")
+    return same.union(other.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -133,34 +187,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     texts whose shingle sets have Jaccard similarity num / den or more.
 
     Null or wordless texts are one class and link to each other alone. Rows that repeat a doc_id each give a row. A null
-    doc_id is kept and counts in its component only if no other row is in it. Further columns are not read.
+    doc_id is kept and counts in its component only if no other row is in it. Texts are read whole, however long. An empty
+    table gives no rows. Further columns are not read.
     """
-    prints = stage(_prints(docs, _levels(docs, width), width, num, den), "prints")
-    own = stage(prints.groupBy("k").agg(F.min("doc_id").alias("least")), "classes")
-    posting = prints.dropDuplicates(["k"]).select("k", "n", F.posexplode("prefix").alias("pos", "h"))
+    spark = docs.sparkSession
+    prints = stage(_prints(docs, _levels(docs, width), width, num, den).withColumn("u", F.monotonically_increasing_id()), "prints")
+    own = stage(prints.groupBy("k").agg(F.min("doc_id").alias("least"), F.min("u").alias("u")), "classes")
+    # A row for each class, without shuffling what is large.
+    classes = small_join(prints, own.select("u"), ["u"], "left_semi", _MOST).where("n > 0")
+    posting = classes.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
     posting = posting.select("h", "k", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
     w = Window.partitionBy("h")
-    posting = posting.withColumns({"hub": F.min(F.struct("k", "np")).over(w), "last": F.max("k").over(w)}).where("hub.k <> last")
-    seen = stage(posting.select("h", "k", "np", F.col("hub.k").alias("hub_k"), F.col("hub.np").alias("hub_np")), "postings")
-    release(docs.sparkSession)
-    first = seen.where("k <> hub_k").where(_bounds("", "hub_", num, den)).select(F.col("k").alias("a"), F.col("hub_k").alias("b")).distinct()
-    sigs = stage(prints.select("k", F.shiftleft("n", 32).alias("np"), "sig").dropDuplicates(["k"]), "parities")
-    for p in ("a", "b"):
-        first = first.join(sigs.select(F.col("k").alias(p), F.col("np").alias(f"{p}_np"), F.col("sig").alias(f"{p}_sig")), p)
-    first = stage(first.where(_alike("a_", "b_", num, den)).select("a", "b"), "pairs")
-    roots = connected_components(_verified(first, own, docs, width, num, den))
-    release(docs.sparkSession)
-    # Shingles where classes of several components meet: there every pair of two components that wasn't yet looked at.
+    seen = posting.withColumns({"hub": F.min("k").over(w), "last": F.max("k").over(w)}).where("hub <> last").drop("last")
+    seen = stage(seen, "postings")
+    release(spark)
+    # Round 1: of the first classes at its shingles, each class meets the one whose parity bits are nearest.
+    hubs = _with_parities(seen.where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct(), classes)
+    hubs = hubs.where(_alike("a_", "b_", num, den)).groupBy("a").agg(F.min(F.struct(_differ("a_", "b_").alias("x"), "b")).alias("m")).select("a", "m.b")
+    nominated = _with_parities(stage(_by_fingerprint(classes), "nominated"), classes).where(_alike("a_", "b_", num, den)).select("a", "b")
+    first = stage(hubs.union(nominated).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    links = _verified(first, own, docs, width, num, den)
+    roots = connected_components(links)
+    # Round 2: shingles where classes of several components meet: there every pair of two components not yet looked at.
     open_ = seen.select("h", "k", "np").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_ = open_.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w)}).where("low <> high")
-    open_ = stage(open_.join(sigs.select("k", "sig"), "k").select("h", *(F.col(c).alias(f"a_{c}") for c in ("k", "np", "root", "sig"))), "open")
+    sigs = classes.select("k", "sig")
+    open_ = stage(open_.join(sigs, "k").select("h", *(F.col(c).alias(f"a_{c}") for c in ("k", "np", "root", "sig"))), "open")
     other = open_.select("h", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("k", "np", "root", "sig")))
-    again = open_.join(other, "h").where("a_k > b_k AND a_root <> b_root").where(_bounds("a_", "b_", num, den) & _alike("a_", "b_", num, den))
-    again = stage(again.select(F.col("a_k").alias("a"), F.col("b_k").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "again")
+    ordered = (_size("b_") < _size("a_")) | (F.col("b_k") < F.col("a_k"))
+    again = open_.join(other, "h").where(F.col("a_root") != F.col("b_root")).where(ordered & _bounds("a_", "b_", num, den) & _alike("a_", "b_", num, den))
+    again = again.select(F.greatest("a_k", "b_k").alias("a"), F.least("a_k", "b_k").alias("b")).distinct()
+    again = stage(again.join(first, ["a", "b"], "left_anti"), "again")
+    discard(open_)
+    release(spark)
     if not again.isEmpty():
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(again, own, docs, width, num, den))
-        roots = connected_components(edges)
-    own = stage(own.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "roots")
+        more = _verified(again, own, docs, width, num, den)
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    discard(seen, first, again)
+    own = stage(own.select("k", "least").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "roots")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "k").join(own.join(least, "root").select("k", "component_id"), "k")
 

@@ -8,7 +8,8 @@ known with the place where its words first stand, and windows that follow each o
 
 Confirmation. The words of each passage are read from the place where it first stands. Each chunk of documents gets
 the passages that concern it as an automaton (pyahocorasick), through which its whole documents are streamed; a word is removed if
-it lies in an occurrence of a passage that first stands earlier. So nothing rests on hashes alone.
+it lies in an occurrence of a passage that first stands earlier. Texts that repeat an earlier one whole, word for word, are told
+by their number of words and a 128-bit hash instead: they keep nothing.
 """
 
 from __future__ import annotations
@@ -248,6 +249,7 @@ def dedup_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     A word goes if a window of 20 words of its document covers it whose words also start earlier: in a document of smaller
     doc_id (of smaller text hash, where a doc_id repeats) or before in the same one. Null texts have no words; a null doc_id
     is before all others; rows that repeat doc_id and text are one document. kept holds the words that stay, by blanks.
+    Texts are read whole, however long; an empty table gives no rows; other columns are not read.
     """
     rows = _keyed(docs)
     copies = stage(_copies(rows), "copies")

@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pytest
@@ -114,20 +113,9 @@ def test_lines_of_many_variants(spark):
     assert got == helpers.lines(rows)
 
 
-def jaccard_roots(rows):
-    """Components of the links at 5-word Jaccard 0.8 or more, by brute force."""
-    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := helpers.words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) else frozenset() for i, t in rows}
-    having = {}
-    for i, s in sets.items():
-        for x in s or [None]:
-            having.setdefault(x, []).append(i)
-    pairs = {(a, b) for own in having.values() for a in own for b in own if a < b}
-    return helpers.components([(a, b) for a, b in pairs if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))], sets)
-
-
 def test_pipeline_near_duplicates_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    roots = jaccard_roots([(r.doc_id, r.text) for r in docs.collect()])
+    roots = helpers.jaccard_roots([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == set(roots.values())
 
 
@@ -145,7 +133,7 @@ def test_pipeline_near_duplicates_of_edited_copies(spark):
             w = own if g < 3 else w
             if g >= 3:
                 rows.append((len(rows), " ".join(own)))
-    expected = jaccard_roots(rows)
+    expected = helpers.jaccard_roots(rows)
     got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == expected
     assert len(rows) > len(set(expected.values())) > 12

@@ -233,5 +233,44 @@ def test_decontamination_finds_copies_and_edits(spark, rows):
     assert {(900, items[0].item_id), (901, items[1].item_id), (902, items[2].item_id)} <= found
     kept = {r.doc_id for r in decontaminate.keep_clean(own, matcher).collect()}
     assert not kept & {900, 901, 902} and {904, 905} <= kept
-    with pytest.raises(ValueError):
-        decontaminate.prepare(docs, benchmark, max_items=3)
+    # A benchmark in several parts finds the same.
+    parts = decontaminate.prepare(docs, benchmark, most_words=300)
+    assert len(parts) > 3 and {(r.doc_id, r.item_id) for r in decontaminate.find(own, parts).collect()} == found
+    assert {r.doc_id for r in decontaminate.keep_clean(own, parts).collect()} == kept
+
+
+def edited(rng, words, vocabulary):
+    """Ways to edit a copy: every third to eighth word changed, words changed, dropped, put in or swapped at random."""
+    for k in range(3, 9):
+        at = rng.randrange(k)
+        yield [rng.choice(vocabulary) if j % k == at else w for j, w in enumerate(words)]
+    yield [rng.choice(vocabulary) if rng.random() < 0.3 else w for w in words]
+    yield [w for w in words if rng.random() > 0.2]
+    yield [x for w in words for x in ([w, rng.choice(vocabulary)] if rng.random() < 0.5 else [w])]
+    swapped = list(words)
+    for j in range(0, len(swapped) - 1, 5):
+        swapped[j], swapped[j + 1] = swapped[j + 1], swapped[j]
+    yield swapped
+
+
+def test_decontamination_recall_against_all_alignments(rows):
+    """What aligning every item with every text finds, for copies in the middle of clean texts."""
+    import random
+
+    docs, _, benchmark = rows
+    rng = random.Random(6)
+    (matcher,) = decontaminate.prepare(docs, benchmark)
+    index, clean = matcher.index, [decontaminate.tokens(r.text) for r in docs.where("length(text) > 900").orderBy("doc_id").limit(8).collect()]
+    vocabulary = sorted({w for t in clean for w in t})
+    texts = [" ".join(rng.choice(clean)[:50] + own + rng.choice(clean)[:50]) for item in benchmark.orderBy("item_id").limit(12).collect() for own in edited(rng, decontaminate.tokens(item.text), vocabulary)]
+    expected = {(i, index.ids[k]) for i, t in enumerate(texts) for k, q in enumerate(index.items) if decontaminate.smith_waterman(q, index.numbers(t))[0] >= matcher.least[k]}
+    got = {(i, hit[0]) for i, own in enumerate(matcher.find_all(texts)) for hit in own}
+    assert got <= expected and len(got) >= 0.98 * len(expected) and len(expected) > 100
+
+
+def test_short_items_need_a_whole_match():
+    index = decontaminate.Index([(1, "the"), (2, "of the"), (3, "alpha beta gamma"), (4, "one two three four five six seven eight nine ten")])
+    m = decontaminate.Matcher(index, np.ones(len(index.number), np.int64), 0.5)
+    assert index.ids == [3, 4] and m.find("the of the end") == []
+    assert [h[0] for h in m.find("x alpha beta gamma y")] == [3] and m.find("x alpha beta y") == []
+    assert [h[0] for h in m.find("one two three four five six seven eight")] == [4] and m.find("one two three four five") == []
