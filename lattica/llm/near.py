@@ -9,7 +9,8 @@ more, verified on the whole sets. Links serve for components alone, so they are
    classes in different components alone, as a pair inside one changes nothing. Shingles are ordered by how much of the corpus
    their hash bucket holds (counted over all texts), then by hash; any order that all texts share gives an exact join. Of two
    similar sets, the larger has the first shingle that both share among its first n - ceil(t n) + 1, the smaller among its first
-   n - ceil(2 t n / (1 + t)) + 1. Sizes, the places of that shingle and 512 parity bits bound what both can share at most.
+   n - ceil(2 t n / (1 + t)) + 1. Sizes and the places of that shingle bound what both can share at most, and so do parity
+   bits, about as many as a set has shingles.
 """
 
 from __future__ import annotations
@@ -26,27 +27,35 @@ from .passages import _mix, _rolled
 from .simhash import _LOWER, near_links
 
 _BITS = 18
-_PARITY = 512
+_PIECE = 1 << 12  # buckets of one row of counts
+_PARITY = 512  # parity bits at least
 _NONE = -(1 << 63)  # stands for a null doc_id in a join
 _MOST = 300_000  # rows of one or two numbers that are broadcast at most
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles of lower-cased (A to Z) words; a text of fewer words is one
-    shingle, one without words has none."""
+def _shingles(texts: list[str | None], width: int) -> tuple[list[int], np.ndarray]:
+    """(number of shingles of each text, hashes of all one after the other), of lower-cased (A to Z) words; a text of fewer words
+    is one shingle, one without words has none."""
     split = [words_of(t.translate(_LOWER) if t else None) for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
-    total = int(sizes.sum())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for own in split for w in own), np.uint64, total)
-    rolled = _rolled(hashes, width) if total >= width else np.zeros(0, np.uint64)
-    out, at = [], 0
-    for n in sizes.tolist():
-        if n >= width:
-            out.append(np.unique(rolled[at : at + n - width + 1]))
-        else:
-            out.append(_mix(np.array([xxhash.xxh64_intdigest(hashes[at : at + n].tobytes(), n)], np.uint64)) if n else np.zeros(0, np.uint64))
-        at += n
-    return out
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for own in split for w in own), np.uint64, int(sizes.sum()))
+    # Runs that reach into the next text are left out; short texts are hashed as a whole.
+    runs = _rolled(np.concatenate((hashes, np.zeros(width - 1, np.uint64))), width)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(hashes))
+    starts = np.cumsum(sizes) - sizes
+    short = (sizes > 0) & (sizes < width)
+    for at, n in zip(starts[short].tolist(), sizes[short].tolist(), strict=True):
+        runs[at] = _mix(np.array([xxhash.xxh64_intdigest(hashes[at : at + n].tobytes(), n)], np.uint64))[0]
+    inside = left >= width
+    inside[starts[short]] = True
+    return np.where(short, 1, np.maximum(sizes - width + 1, 0)).tolist(), runs[inside]
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
+    counts, hashes = _shingles(texts, width)
+    ends = np.cumsum(counts).tolist()
+    return [np.unique(hashes[e - n : e]) for n, e in zip(counts, ends, strict=True)]
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -57,22 +66,32 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
     """For each bucket of hashes 0, or twice the binary logarithm of how many times the mean it holds."""
 
     def run(batches):
+        from pyspark import TaskContext
+
         counts = np.zeros(1 << _BITS, np.int64)
         for (texts,) in chunks(batches, 0):
-            counts += np.bincount(_bucket(np.concatenate(shingle_sets(texts, width))), minlength=1 << _BITS)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 1 << 16):
-            yield pa.record_batch([pa.array(at[i : i + (1 << 16)]), pa.array(counts[at[i : i + (1 << 16)]])], ["b", "c"])
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "b long, c long").groupBy("b").agg(F.sum("c").alias("c"))
-    counts = stage(counts, "shares")
-    mean = (counts.agg(F.sum("c")).first()[0] or 0) / (1 << _BITS)
-    table = np.zeros(1 << _BITS, np.uint8)
-    # A row for each bucket at most; those that hold little more than the mean stay at 0.
-    for b, c in counts.where(F.col("c") >= 1.5 * mean).collect():
-        table[b] = min(255, int(2 * np.log2(c / mean)))
-    discard(counts)
-    return table
+            counts += np.bincount(_bucket(_shingles(texts, width)[1]), minlength=1 << _BITS)
+        part = TaskContext.get().partitionId() % 64
+        for i in range(0, len(counts), _PIECE):
+            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([i], pa.int64()), pa.array([counts[i : i + _PIECE].tobytes()], pa.binary())], ["p", "i", "c"])
+
+    def total(pdf):
+        import pandas as pd
+
+        sums = np.zeros(_PIECE, np.int64)
+        for c in pdf["c"]:
+            sums += np.frombuffer(c, np.int64)
+        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "c": [sums.tobytes()]})
+
+    pieces = docs.select(F.col("text").cast("string")).mapInArrow(run, "p long, i long, c binary")
+    # Summed in two steps, so that no task holds the pieces of all others.
+    pieces = pieces.groupBy("p", "i").applyInPandas(total, "i long, c binary").groupBy("i").applyInPandas(total, "i long, c binary")
+    counts = np.zeros(1 << _BITS, np.int64)
+    # As many rows as the table has pieces.
+    for r in pieces.collect():
+        counts[r.i : r.i + _PIECE] = np.frombuffer(r.c, np.int64)
+    mean = max(1e-9, counts.mean())
+    return np.where(counts >= 1.5 * mean, np.minimum(255, 2 * np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.uint8)
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -80,8 +99,9 @@ def _class(hashes: np.ndarray) -> int:
 
 
 def _parity(hashes: np.ndarray) -> np.ndarray:
-    """Two sets differ in at least as many hashes as their parity bits do."""
-    odd = np.bincount((hashes % np.uint64(_PARITY)).astype(np.int64), minlength=_PARITY) & 1
+    """Parity bits, a power of two of them and at least as many as hashes. Two sets differ in at least as many hashes as these."""
+    bits = max(_PARITY, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else _PARITY
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -109,7 +129,7 @@ def _prints(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int)
                 sig.append(_parity(own))
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
-            sigs = pa.ListArray.from_arrays(pa.array(range(0, (len(sig) + 1) * (_PARITY // 64), _PARITY // 64), pa.int32()), pa.array(np.concatenate(sig)))
+            sigs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sig)]), pa.int32()), pa.array(np.concatenate(sig)))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.array(k, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), lists, sigs], ["doc_id", "k", "n", "fp", "prefix", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
@@ -129,21 +149,19 @@ def _bounds(a: str, b: str, num: int, den: int):
     return (nb <= na) & (nb * den >= na * num) & (reach * (num + den) >= (na + nb) * num)
 
 
-def _differ(a: str, b: str):
-    return sum(F.bit_count(F.get(a + "sig", F.lit(i)).bitwiseXOR(F.get(b + "sig", F.lit(i)))) for i in range(_PARITY // 64))
-
-
-def _alike(a: str, b: str, num: int, den: int):
-    """Whether parity bits allow classes a and b to be similar; columns np and sig have these prefixes."""
-    return _differ(a, b) * (num + den) <= (_size(a) + _size(b)) * (den - num)
-
+def _nearest(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs(a, b) whose parity bits allow that they are similar, with differ, the number of bits that differ.
 
-def _with_parities(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs(a, b) with a_np, a_sig, b_np, b_sig."""
-    slim = classes.select("k", F.shiftleft("n", 32).alias("np"), "sig")
+    Sets of similar sizes have as many bits, or one has twice as many: then its halves are put together."""
+    slim = classes.select("k", "n", "sig")
     for p in ("a", "b"):
-        pairs = pairs.join(slim.select(F.col("k").alias(p), F.col("np").alias(f"{p}_np"), F.col("sig").alias(f"{p}_sig")), p)
-    return pairs
+        pairs = pairs.join(slim.select(F.col("k").alias(p), F.col("n").alias(f"{p}_n"), F.col("sig").alias(f"{p}_sig")), p)
+    pairs = pairs.where((F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num))
+    least = F.least(F.size("a_sig"), F.size("b_sig"))
+    folded = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+    bits = F.zip_with(folded("a_sig"), folded("b_sig"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    pairs = pairs.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("both"), F.aggregate(bits, F.lit(0), lambda x, y: x + y).alias("differ"))
+    return pairs.where(F.col("differ") * (num + den) <= F.col("both") * (den - num)).select("a", "b", "differ")
 
 
 def _verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -202,21 +220,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     seen = stage(seen, "postings")
     release(spark)
     # Round 1: of the first classes at its shingles, each class meets the one whose parity bits are nearest.
-    hubs = _with_parities(seen.where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct(), classes)
-    hubs = hubs.where(_alike("a_", "b_", num, den)).groupBy("a").agg(F.min(F.struct(_differ("a_", "b_").alias("x"), "b")).alias("m")).select("a", "m.b")
-    nominated = _with_parities(stage(_by_fingerprint(classes), "nominated"), classes).where(_alike("a_", "b_", num, den)).select("a", "b")
+    hubs = _nearest(seen.where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct(), classes, num, den)
+    hubs = hubs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("m")).select("a", "m.b")
+    nominated = _nearest(_by_fingerprint(classes), classes, num, den).select("a", "b")
     first = stage(hubs.union(nominated).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(first, own, docs, width, num, den)
     roots = connected_components(links)
     # Round 2: shingles where classes of several components meet: there every pair of two components not yet looked at.
     open_ = seen.select("h", "k", "np").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_ = open_.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w)}).where("low <> high")
-    sigs = classes.select("k", "sig")
-    open_ = stage(open_.join(sigs, "k").select("h", *(F.col(c).alias(f"a_{c}") for c in ("k", "np", "root", "sig"))), "open")
-    other = open_.select("h", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("k", "np", "root", "sig")))
+    open_ = stage(open_.select("h", *(F.col(c).alias(f"a_{c}") for c in ("k", "np", "root"))), "open")
+    other = open_.select("h", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("k", "np", "root")))
     ordered = (_size("b_") < _size("a_")) | (F.col("b_k") < F.col("a_k"))
-    again = open_.join(other, "h").where(F.col("a_root") != F.col("b_root")).where(ordered & _bounds("a_", "b_", num, den) & _alike("a_", "b_", num, den))
-    again = again.select(F.greatest("a_k", "b_k").alias("a"), F.least("a_k", "b_k").alias("b")).distinct()
+    again = open_.join(other, "h").where(F.col("a_root") != F.col("b_root")).where(ordered & _bounds("a_", "b_", num, den))
+    again = _nearest(again.select(F.greatest("a_k", "b_k").alias("a"), F.least("a_k", "b_k").alias("b")).distinct(), classes, num, den).select("a", "b")
     again = stage(again.join(first, ["a", "b"], "left_anti"), "again")
     discard(open_)
     release(spark)
