@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_join, stage
+from .common import chunks, discard, release, small_join, stage
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1
@@ -153,7 +153,8 @@ def _copies(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (d, th, n, one, two)], ["d", "th", "n", "one", "two"])
 
     prints = stage(rows.mapInArrow(run, "d long, th long, n long, one long, two long").where(F.col("n") >= WINDOW), "sequences")
-    first = prints.groupBy("n", "one", "two").agg(F.min(F.struct("d", "th")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    # Written, so that the join below reads plain exchanges, which are split where many texts are one.
+    first = stage(prints.groupBy("n", "one", "two").agg(F.min(F.struct("d", "th")).alias("first"), F.count("*").alias("c")).where("c > 1"), "firsts")
     return prints.join(first, ["n", "one", "two"]).where(F.struct("d", "th") != F.col("first")).select("d", "th").distinct()
 
 
@@ -167,7 +168,8 @@ def recurring(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(np.minimum(c, 2))], ["v", "c"])
 
     seen = rows.select("text").mapInArrow(marks, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
-    bloom = _bloom(stage(seen.where("c > 1").select("v"), "marks"))
+    marks_ = stage(seen.where("c > 1").select("v"), "marks")
+    bloom = _bloom(marks_)
 
     def blocks(batches):
         for d, th, texts in chunks(batches, 2):
@@ -180,14 +182,18 @@ def recurring(rows: DataFrame) -> DataFrame:
             yield pa.record_batch(cols, ["block", "d", "th", "s", "w"])
 
     found = stage(rows.mapInArrow(blocks, "block long, d long, th long, s int, w array<long>"), "blocks")
-    # Rows of one text that repeat are one document.
+    # Rows of one text that repeat are one document. Firsts are written before they are joined: a block or window that stands in
+    # very many documents is a large key on one side only, which is then split over tasks.
     place = F.struct("d", "th", "s")
-    first = found.groupBy("block").agg(F.min(place).alias("f"), F.count("*").alias("c"))
+    first = stage(found.groupBy("block").agg(F.min(place).alias("f"), F.count("*").alias("c")), "firsts")
     alone = found.join(first.where("c = 1").select("block"), "block", "left_semi")
     many = stage(found.join(first.where("c > 1"), "block").withColumn("later", F.struct("d", "th", "s") != F.col("f")), "many")
     later = many.where("later").select("d", "th", "s", F.size("w").alias("k"), "f")
     windows = alone.union(many.where("not later").select(alone.columns)).select("d", "th", F.posexplode("w").alias("i", "h"), "s").select("h", "d", "th", (F.col("s") + F.col("i")).alias("s"))
-    ahead = windows.withColumn("f", F.min(place).over(Window.partitionBy("h"))).where(F.struct("d", "th", "s") != F.col("f"))
+    windows = stage(windows, "windows")
+    heads = stage(windows.groupBy("h").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("h", "f"), "heads")
+    discard(marks_, found, first)
+    ahead = windows.join(heads, "h").where(F.struct("d", "th", "s") != F.col("f"))
     every = later.union(ahead.select("d", "th", "s", F.lit(1), "f")).select("d", "th", "s", "k", "f.*").toDF("d", "th", "s", "k", "fd", "fth", "fs")
     # Stretches whose windows follow one another here and there: one passage.
     w = Window.partitionBy("d", "th").orderBy("s", "fs")
@@ -253,7 +259,9 @@ def dedup_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     rows = _keyed(docs)
     copies = stage(_copies(rows), "copies")
+    release(docs.sparkSession)
     spans = stage(recurring(small_join(rows, copies, ["d", "th"], "left_anti", 500_000)), "spans")
+    release(docs.sparkSession)
     parts = _with_words(spans, small_join(rows, copies, ["d", "th"], "left_anti", 500_000))
     own = parts.groupBy("d", "th").agg(F.collect_list(F.struct("words", "fd", "fth", "fs")).alias("parts"))
     whole = copies.withColumn("copy", F.lit(True))

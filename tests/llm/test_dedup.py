@@ -171,3 +171,17 @@ def test_line_links_against_brute_force(spark, sf_dir):
     expected = class_links(rows)
     got = {r.doc_id: [(x.line, x.n) for x in r.links] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == expected and max(n for own in expected.values() for _, n in own) > 3
+
+
+def test_lines_with_a_word_in_every_line(spark):
+    """A word that all lines have, other blanks than spaces, and long lines."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(120):
+        own = [f"x{rng.randrange(400)}" for _ in range(rng.choice((1, 3, 4, 5, 9, 150)))]
+        rows.append((k, "the " + "\t".join(own) + "\n\x0b \n" + "\r".join(["the", *own[: -1 or None]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.dedup_lines(df).collect()
+    assert {r.doc_id: list(r.removed) for r in got} == helpers.lines(rows)
+    assert {r.doc_id: [(x.line, x.n) for x in r.links] for r in got} == class_links(rows)
+    assert {r.n_lines for r in got} == {3}

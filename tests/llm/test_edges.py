@@ -96,3 +96,9 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
         else:
             docs = spark.createDataFrame(after, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
     assert len(kept["toxicity"]) >= len(kept["simhash_near_dedup"]) >= len(kept["benchmark_decontamination"]) > 0
+
+
+def test_pipeline_on_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0

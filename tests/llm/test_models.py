@@ -51,6 +51,41 @@ def test_language_held_out(rows):
     assert np.mean(out) > 0.97
 
 
+def test_language_against_brute_force(spark, rows, sf_dir):
+    """Each text on its own, word by word: emissions, forward-backward, mean posterior of the words with letters."""
+    docs, _, _ = rows
+    crf = language.train(docs)
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(60)
+    t, s = np.exp(crf.transition.astype(float)), np.exp(crf.start.astype(float))
+    for r, row in zip(language.identify(small, crf).orderBy("doc_id").collect(), small.orderBy("doc_id").collect(), strict=True):
+        words = [language.Features.plain(w) for w in row.text.encode().split()]
+        if not any(words):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        e = np.array([np.exp(np.maximum((x := crf.scores([w])[0].astype(float)) - x.max(), -20)) if w else np.ones(len(crf.labels)) for w in words])
+        alpha, beta = np.zeros_like(e), np.ones_like(e)
+        for k in range(len(e)):
+            alpha[k] = e[k] * (s if k == 0 else alpha[k - 1] @ t)
+            alpha[k] /= alpha[k].sum()
+        for k in range(len(e) - 2, -1, -1):
+            beta[k] = t @ (e[k + 1] * beta[k + 1])
+            beta[k] /= beta[k].sum()
+        p = alpha * beta
+        p /= p.sum(1, keepdims=True)
+        mean = p[[bool(w) for w in words]].mean(0)
+        assert r.lang_pred == crf.labels[int(mean.argmax())] and r.score == pytest.approx(float(mean.max()), abs=1e-3)
+
+
+def test_samples_take_the_smallest_hashes(spark):
+    """Also where one id has most of the rows, and for fewer rows than wanted."""
+    ids = [7] * 3000 + list(range(1000, 1400)) + [5]
+    df = spark.createDataFrame([(i, "x" if i != 5 else "y", f"t{i}") for i in ids] + [(None, "x", "n"), (9, None, "n")], "doc_id long, lang string, text string")
+    got = language.sample_by_label(df, "lang", 50, ["doc_id", "lang", "text"])
+    assert len(got) == 51 and len({r.doc_id for r in got}) == 51 and 5 in {r.doc_id for r in got}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, language.sample_by_label(df.repartition(3), "lang", 50, ["doc_id", "lang", "text"])))
+    assert len(language.sample_by_label(df, "lang", 5000, ["doc_id", "lang", "text"])) == 402
+
+
 def test_language_labels_words_of_mixed_text(rows):
     docs, _, _ = rows
     crf = language.train(docs)
@@ -155,11 +190,52 @@ def test_pii_model(rows):
     odd = "please call (988) 555-2485 or write to the office of the shop"
     base_odd = pii.base_spans(odd)
     assert base_odd == [] and all(pii.valid(k, odd[a:b]) for a, b, k in pii.added_spans(odd, [], pii.model_spans([odd], model)[0]))
-    for r in pii.digest(docs, model).collect():
-        own = brute(next(x.text for x in [r_ for r_ in docs.where(f"doc_id = {r.doc_id}").collect()])) if r.doc_id < 3 else None
-        if own is not None:
-            assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == i for s in own) for i in range(4)]
-        assert r.spans.count(":") == 2 * (sum(r[f"n_{k}"] for k in pii.KINDS) + r.n_added)
+
+
+def test_pii_query_against_brute_force(spark, rows, sf_dir):
+    """Every column of the digest: base spans by the contract's patterns, added ones by decoding each text on its own."""
+    import hashlib
+
+    docs, _, _ = rows
+    model, small = pii.train(docs), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in small.collect()}
+    listed = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
+    for r in pii.digest(small, model).collect():
+        text = texts[r.doc_id] or ""
+        base = brute(text)
+        more = pii.added_spans(text, base, pii.model_spans([text], model)[0])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == i for s in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert r.spans == listed(base + more) and r.n_added == len(more)
+
+
+def test_pii_added_spans_on_made_texts(rows):
+    """What the model adds to the patterns, on writings made with another seed than those of the training."""
+    import random
+
+    docs, _, _ = rows
+    model, rng = pii.train(docs), random.Random(99)
+    vocabulary = ["letter", "street", "number", "please", "write", "call", "office", "today"]
+    right = found = wanted = 0
+    for _ in range(400):
+        datum, kind = pii.synthetic(rng, lambda: rng.choice(vocabulary))
+        before = " ".join(rng.choice(vocabulary) for _ in range(4)) + " "
+        text = before + datum + " " + " ".join(rng.choice(vocabulary) for _ in range(4))
+        base = brute(text)
+        added = pii.added_spans(text, base, pii.model_spans([text], model)[0])
+        truth = {(len(before), len(before) + len(datum), kind)} - set(base) if kind >= 0 else set()
+        truth = {t for t in truth if not any(a < t[1] and t[0] < b for a, b, _ in base)}
+        wanted, found, right = wanted + len(truth), found + len(added), right + len(truth & set(added))
+    assert wanted > 50 and right >= 0.6 * wanted and right >= 0.8 * found
+
+
+def test_pii_reads_whole_words_and_long_texts(rows):
+    docs, _, _ = rows
+    areas = pii.areas_of("see a_long_first_and_last_name_of_a_person @ host . com now and nothing here")
+    assert areas and areas[0][0] <= 4
+    model = pii.BiLstmCrf()
+    text = "1 2 3 4 5 " * 30_000
+    assert isinstance(pii.model_spans([text], model)[0], list)
 
 
 def test_windows_cover_triggers():
@@ -206,6 +282,21 @@ def test_lstm_gradient():
             assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
 
 
+def test_toxicity_query_against_brute_force(spark, rows, sf_dir):
+    """Each whole text on its own through embedding, filters and pooling."""
+    docs, labels, _ = rows
+    cnn = toxicity.train(docs, labels)
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in toxicity.score(small, cnn).collect()}
+    for r in small.collect():
+        ids = toxicity.encode(r.text or "")
+        pooled, _ = cnn._pool(cnn.embedding[ids].sum(1), np.array([0]), np.array([len(ids)]))
+        z = float(np.maximum(pooled[0] + cnn.bias, 0) @ cnn.out + cnn.out_bias)
+        z += float(cnn.shift[int(cnn.language_weights[ids[:, 0]].sum(0).argmax())]) if cnn.languages else 0
+        score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-3) and got[r.doc_id].held_out == held(r.doc_id)
+
+
 def test_smith_waterman_against_cells():
     rng = np.random.default_rng(3)
     for _ in range(60):

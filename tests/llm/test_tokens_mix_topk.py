@@ -1,5 +1,8 @@
+import unicodedata
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,10 +106,60 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     got = {}
     for r in topk.top_k(df, block_rows=40, block_queries=2).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
-    vectors = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows[:160]}
+    # Rows that repeat are candidates like any others.
+    vectors = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in [*rows[:160], (7, rows[7][1])]]
     expected = {}
     for q in (0, 50, 100, 150):
-        best = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:5]
+        best = sorted((-sum(a * b for a, b in zip(vectors[q][1], v, strict=True)), i) for i, v in vectors if i != q)[:5]
         expected[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert {q: sorted(v) for q, v in got.items()} == expected
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_rows_against_sql(spark):
+    """Repeated rows, also of queries, unequal lengths, components up to 1e300 and scores beyond a long."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 6) / 4]) for k in range(120)]
+    rows += [(50, rows[50][1]), (1, rows[1][1]), (1, rows[1][1]), (2, rows[3][1]), (100, [1e30, -1e30, 1e7, 2e7, 3e30, 1.0]), (60, [1e30] * 6), (61, [-1e300] * 6)]
+    rows += [(150, [1.0, 2.0]), (151, [1.5, 2.0]), (200, None), (201, [None] * 6), (250, [float("nan")] * 6), (251, []), (None, rows[3][1]), (99, [1e7] * 6), (100, [1e7] * 6)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=40, block_queries=2).collect()
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.OP10_SQL).fetchall())
+
+
+def test_word_encoder_on_every_letter():
+    """Letters whose lower case or composition isn't all letters must not be taken apart from the punctuation that follows."""
+    t, own = tokenizer(), wavelet.WordEncoder(queries.tokenizer_path())
+    assert own.by_word
+    odd = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not unicodedata.normalize("NFC", chr(c)).lower().isalpha()]
+    assert "\u0130" in odd and "\u0958" in odd
+    texts = [form.format(c) for c in [*odd, *map(chr, range(0xC0, 0x250))] for form in ("{}@", "a{}.", "{0}{0}! x")]
+    lengths, ids = own.documents(texts)
+    told = [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    assert lengths.tolist() == list(map(len, told)) and ids.tolist() == [i for x in told for i in x]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    own = wavelet.WordEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    told = own.tokenizer.encode("Some words, and more.  Words!", add_special_tokens=False).ids
+    lengths, ids = own.documents(["Some words, and more.  Words!", None])
+    assert not own.by_word and ids.tolist() == [*told, 1, 1] and lengths.tolist() == [len(told) + 1, 1]
+
+
+def test_access_opens_single_chunks():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 40_000, 200_000).astype(np.uint32)
+    shard = wavelet.Shard.from_bytes(wavelet.Shard.build([1], np.array([len(ids)]), ids).to_bytes())
+    m = shard.matrix
+    assert m.access(150_000) == ids[150_000] and all(len(p._open) == 1 for p in m.planes)
+    assert m.occurrences(int(ids[7])).tolist() == np.flatnonzero(ids == ids[7]).tolist()
+    assert (m.to_array() == ids).all()
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(k, f"s{k % 3}", k, "mine", 7, "r", "a") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, target string, copies long, _row string, _at string")
+    got = mixing.systematic_copies(df).collect()
+    assert len(got) == 40 and all(r["_row"] == "r" and r["_at"] == "a" and isinstance(r.target, float) and 0 <= r.copies <= 2 for r in got)
+    assert mixing.systematic_copies(df.limit(0)).count() == 0
