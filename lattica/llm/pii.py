@@ -327,7 +327,7 @@ def model_spans(texts: list[str], model: BiLstmCrf, batch: int = 256) -> list[li
         for w, (i, a, b, at) in enumerate(part):
             k = np.arange(b - a)
             # The text's own ends cut nothing off, so they don't count as a window's edge.
-            own = np.minimum(k if a else WINDOW, b - a - 1 - k if b < len(texts[i]) else WINDOW)
+            own = np.minimum(k if a else WINDOW + 0 * k, b - a - 1 - k if b < len(texts[i]) else WINDOW)
             better = own > central[i][at : at + b - a]
             central[i][at : at + b - a][better] = own[better]
             tags[i][at : at + b - a][better] = found[: b - a, w][better]
