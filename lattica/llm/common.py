@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from ..workspace import shared_path as work_dir  # noqa: F401
 
@@ -93,7 +94,12 @@ def _chunks(batches, text: int, max_chars: int, max_rows: int):
             yield [c.to_pylist() for c in batch.slice(begin).columns]
 
 
-def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 50_000) -> DataFrame:
-    """Joins a side that was counted: broadcast up to max_rows rows, an ordinary join beyond."""
-    bounded = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if bounded else small, on, how)
+def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 50_000, max_bytes: int = 64_000_000) -> DataFrame:
+    """Joins a side whose size was checked: broadcast up to max_rows rows and max_bytes bytes, an ordinary join beyond."""
+    fixed = sum(8 for f in small.schema if not isinstance(f.dataType, StringType))
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if isinstance(f.dataType, StringType)]
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType, BinaryType)) for f in small.schema):
+        raise TypeError("only columns of numbers and strings are broadcast")
+    size = sum(texts, F.lit(fixed))
+    n, size = small.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return big.join(F.broadcast(small) if n <= max_rows and (size or 0) <= max_bytes else small, on, how)

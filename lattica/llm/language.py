@@ -312,3 +312,29 @@ def identify(docs: DataFrame, crf: Crf) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
+    """docs(doc_id, text, ...) to one row each: doc_id, labels (the language of each word, of code-switched texts too) and
+    posteriors (of these labels); words are what stands between ASCII blanks.
+
+    A word without letters is und at posterior 0. Null and empty texts, or nothing learned, give empty lists or und alone; of
+    equal posteriors the first label by code point holds. Long texts, repeats, empty tables and other columns are as in identify().
+    """
+
+    def run(batches):
+        tagger = Tagger(crf)
+        for ids, texts in chunks(batches, 1):
+            split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+            which = [i for i, w in enumerate(split) if w and crf.labels]
+            labels, posteriors = [[UNKNOWN] * len(w) for w in split], [[0.0] * len(w) for w in split]
+            if which:
+                p, lengths, lettered = tagger.word_posteriors([split[i] for i in which])
+                names = np.where(lettered, np.array(crf.labels, object)[p.argmax(1)], UNKNOWN)
+                best, ends = np.where(lettered, p.max(1), 0).astype(float), np.cumsum(lengths)
+                for i, a, b in zip(which, (ends - lengths).tolist(), ends.tolist(), strict=True):
+                    labels[i], posteriors[i] = names[a:b].tolist(), best[a:b].tolist()
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(labels, pa.list_(pa.string())), pa.array(posteriors, pa.list_(pa.float64()))], ["doc_id", "labels", "posteriors"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, labels array<string>, posteriors array<double>")

@@ -443,6 +443,25 @@ def documents_of(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     return shards.select("image", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+def occurrences(shards: DataFrame, symbol: int, places: bool = True) -> DataFrame:
+    """Where a token id stands, looked up in the shards' planes without decoding the documents: doc_id and position (counted over
+    all shards) of each occurrence, or with places false doc_id and n, the number of occurrences in each document that has any."""
+
+    def run(batches):
+        for batch in batches:
+            for image, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                shard = Shard.from_bytes(image.as_py())
+                at = shard.matrix.occurrences(symbol)
+                own = np.searchsorted(shard.starts, at, "right") - 1
+                if not places:
+                    own, at = np.unique(own, return_counts=True)
+                cols = [pa.array([shard.doc_ids[k] for k in own.tolist()], pa.int64()), pa.array(at if not places else at + base, pa.int64())]
+                yield pa.record_batch(cols, names)
+
+    names = ["doc_id", "position" if places else "n"]
+    return shards.select("image", "base").mapInArrow(run, f"doc_id long, {names[1]} long")
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
     """Writes the shards of docs to path (a new shared folder if None) and returns what documents_of() reads from them."""
     spark = docs.sparkSession

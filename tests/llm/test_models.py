@@ -97,6 +97,18 @@ def test_language_labels_words_of_mixed_text(rows):
     assert np.mean([n == "en" for n in names[:25]]) > 0.8 and np.mean([n == "fr" for n in names[25:]]) > 0.8
 
 
+def test_word_labels_as_rows(spark, rows):
+    docs, _, _ = rows
+    crf = language.train(docs)
+    by = {r.lang: " ".join(r.text.split()[:25]) for r in docs.where("length(text) > 400").collect()}
+    own = spark.createDataFrame([(1, by["en"] + "\n" + by["fr"]), (2, None), (3, ""), (4, "12 !!"), (4, "12 !!"), (None, by["de"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.label_words(own, crf).collect()}
+    assert np.mean([x == "en" for x in got[1].labels[:25]]) > 0.8 and np.mean([x == "fr" for x in got[1].labels[25:]]) > 0.8
+    assert got[2].labels == got[3].labels == [] and got[4].labels == ["und", "und"] and got[4].posteriors == [0, 0]
+    assert len(got[None].labels) == 25 and all(0 <= p <= 1 for p in got[1].posteriors)
+    assert language.label_words(own.limit(0), crf).count() == 0
+
+
 def test_toxicity_held_out(spark, rows):
     docs, labels, _ = rows
     cnn = toxicity.train(docs, labels)

@@ -163,3 +163,17 @@ def test_mix_keeps_columns_of_any_name(spark):
     got = mixing.systematic_copies(df).collect()
     assert len(got) == 40 and all(r["_row"] == "r" and r["_at"] == "a" and isinstance(r.target, float) and 0 <= r.copies <= 2 for r in got)
     assert mixing.systematic_copies(df.limit(0)).count() == 0
+
+
+def test_occurrences_from_the_files(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wavelet.write_shards(docs, f"file://{tmp_path}/tokens", queries.tokenizer_path(), shard_tokens=5000)
+    shards = wavelet.read_shards(spark, f"file://{tmp_path}/tokens")
+    every = [(r.doc_id, r.start + k, x) for r in wavelet.documents_of(shards, with_ids=True).collect() for k, x in enumerate(r.ids)]
+    for symbol in (1, every[5][2], 1 << 20):
+        expected = sorted((i, at) for i, at, x in every if x == symbol)
+        assert sorted(map(tuple, wavelet.occurrences(shards, symbol).collect())) == expected
+        counts = {}
+        for i, _ in expected:
+            counts[i] = counts.get(i, 0) + 1
+        assert {r.doc_id: r.n for r in wavelet.occurrences(shards, symbol, places=False).collect()} == counts
