@@ -83,9 +83,9 @@ def line_classes(docs: DataFrame, table: list[int], num: int = 4, den: int = 5)
     # The low bits of a rank are all hash: six pick the parity bit, the next one the half.
     half = lambda b: F.filter("w", lambda x: x.bitwiseAND(F.lit(64)) == b)
     parity = lambda b: F.aggregate(half(b), zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-    at = F.struct("d", "th", "line", prefix.alias("prefix"), parity(0).alias("sig"), parity(64).alias("sig2"))
-    keyed = rows.select(F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), "w").alias("k2"), size.alias("n"), at.alias("at"))
-    first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("n", "at.*")
+    # A hash, the size and 128 parity bits tell sets apart.
+    keyed = rows.select(F.xxhash64("w").alias("k"), size.alias("n"), parity(0).alias("sig"), parity(64).alias("sig2"), F.struct("d", "th", "line", prefix.alias("prefix")).alias("at"))
+    first = keyed.groupBy("k", "n", "sig", "sig2").agg(F.min("at").alias("at")).select("n", "sig", "sig2", "at.*")
     return stage(first.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
