@@ -120,7 +120,7 @@ def select_top(scores: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray
     return first
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 65_536, least_rows: int = 8192, block_queries: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 65_536, least_rows: int = 8192, block_queries: int = 64, most_numbers: int = 1 << 22) -> DataFrame:
     """Queries: rows whose id is divisible by every; candidates: all rows but the query's own. Returns query_id, rank, id, score.
 
     Per query row, the k highest integer inner products (all, if fewer), ties to the smaller id. Rows that repeat an id, or id
@@ -129,13 +129,13 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     returned as the end of that range. An empty table gives no rows. Other columns are not read.
 
     Queries meet candidates block by block. Blocks are dealt by the rows' numbers and bounded in rows, whatever the ids: block_rows
-    candidates, fewer (down to least_rows) where a small table would leave tasks idle. Each pair of blocks yields at most k
+    candidates, fewer (down to least_rows) where a small table would leave tasks idle, and at most most_numbers components. Each pair of blocks yields at most k
     rows for each query, and these are ranked.
     """
     spark = vectors.sparkSession
     rows = stage(quantise(vectors, id_col, vector_col, scale).withColumn("u", F.monotonically_increasing_id()), "quantised")
-    total = rows.count()
-    block_rows = min(block_rows, max(least_rows, math.ceil(total / int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    total, widest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    block_rows = min(block_rows, max(least_rows, math.ceil(total / int(spark.conf.get("spark.sql.shuffle.partitions")))), max(1, most_numbers // (widest or 1)))
 
     def packed(df: DataFrame, size: int, prefix: str) -> DataFrame:
         blocks = max(1, math.ceil(df.count() / size))
