@@ -20,6 +20,21 @@ def rows(spark, sf_dir):
     return docs, spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
 
 
+@pytest.fixture(scope="module")
+def crf(rows):
+    return language.train(rows[0])
+
+
+@pytest.fixture(scope="module")
+def model(rows):
+    return pii.train(rows[0])
+
+
+@pytest.fixture(scope="module")
+def cnn(rows):
+    return toxicity.train(rows[0], rows[1])
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     e, t, s = rng.random((7, 3)) + 0.1, rng.random((3, 3)) + 0.1, rng.random(3) + 0.1
@@ -42,19 +57,17 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(pairs, total)
 
 
-def test_language_held_out(rows):
+def test_language_held_out(rows, crf):
     docs, _, _ = rows
     truth = {r.doc_id: r.lang for r in docs.collect()}
-    got = language.identify(docs.drop("lang", "source"), language.train(docs)).collect()
+    got = language.identify(docs.drop("lang", "source"), crf).collect()
     assert len(got) == len(truth) and all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 for r in got)
     out = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out]
     assert np.mean(out) > 0.97
 
 
-def test_language_against_brute_force(spark, rows, sf_dir):
+def test_language_against_brute_force(spark, crf, sf_dir):
     """Each text on its own, word by word: emissions, forward-backward, mean posterior of the words with letters."""
-    docs, _, _ = rows
-    crf = language.train(docs)
     small = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(60)
     t, s = np.exp(crf.transition.astype(float)), np.exp(crf.start.astype(float))
     for r, row in zip(language.identify(small, crf).orderBy("doc_id").collect(), small.orderBy("doc_id").collect(), strict=True):
@@ -86,9 +99,8 @@ def test_samples_take_the_smallest_hashes(spark):
     assert len(language.sample_by_label(df, "lang", 5000, ["doc_id", "lang", "text"])) == 402
 
 
-def test_language_labels_words_of_mixed_text(rows):
+def test_language_labels_words_of_mixed_text(rows, crf):
     docs, _, _ = rows
-    crf = language.train(docs)
     by = {}
     for r in docs.where("length(text) > 400").collect():
         by.setdefault(r.lang, r.text.encode().split()[:25])
@@ -97,9 +109,8 @@ def test_language_labels_words_of_mixed_text(rows):
     assert np.mean([n == "en" for n in names[:25]]) > 0.8 and np.mean([n == "fr" for n in names[25:]]) > 0.8
 
 
-def test_word_labels_as_rows(spark, rows):
+def test_word_labels_as_rows(spark, rows, crf):
     docs, _, _ = rows
-    crf = language.train(docs)
     by = {r.lang: " ".join(r.text.split()[:25]) for r in docs.where("length(text) > 400").collect()}
     own = spark.createDataFrame([(1, by["en"] + "\n" + by["fr"]), (2, None), (3, ""), (4, "12 !!"), (4, "12 !!"), (None, by["de"])], "doc_id long, text string")
     got = {r.doc_id: r for r in language.label_words(own, crf).collect()}
@@ -109,9 +120,8 @@ def test_word_labels_as_rows(spark, rows):
     assert language.label_words(own.limit(0), crf).count() == 0
 
 
-def test_toxicity_held_out(spark, rows):
+def test_toxicity_held_out(spark, rows, cnn):
     docs, labels, _ = rows
-    cnn = toxicity.train(docs, labels)
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
     got = {r.doc_id: r for r in toxicity.score(docs, cnn).collect()}
     assert all(r.predicted == int(r.score >= 0.3) and r.held_out == held(i) for i, r in got.items())
@@ -192,9 +202,8 @@ def test_base_patterns_against_re(rows):
         assert pii.base_spans(t) == brute(t)
 
 
-def test_pii_model(rows):
+def test_pii_model(rows, model):
     docs, _, _ = rows
-    model = pii.train(docs)
     texts = [r.text for r in docs.collect() if held(r.doc_id)]
     base = {(k, s) for k, t in enumerate(texts) for s in pii.base_spans(t)}
     found = {(k, s) for k, own in enumerate(pii.model_spans(texts, model)) for s in own}
@@ -204,12 +213,11 @@ def test_pii_model(rows):
     assert base_odd == [] and all(pii.valid(k, odd[a:b]) for a, b, k in pii.added_spans(odd, [], pii.model_spans([odd], model)[0]))
 
 
-def test_pii_query_against_brute_force(spark, rows, sf_dir):
+def test_pii_query_against_brute_force(spark, model, sf_dir):
     """Every column of the digest: base spans by the contract's patterns, added ones by decoding each text on its own."""
     import hashlib
 
-    docs, _, _ = rows
-    model, small = pii.train(docs), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in small.collect()}
     listed = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
     for r in pii.digest(small, model).collect():
@@ -221,12 +229,11 @@ def test_pii_query_against_brute_force(spark, rows, sf_dir):
         assert r.spans == listed(base + more) and r.n_added == len(more)
 
 
-def test_pii_added_spans_on_made_texts(rows):
+def test_pii_added_spans_on_made_texts(model):
     """What the model adds to the patterns, on writings made with another seed than those of the training."""
     import random
 
-    docs, _, _ = rows
-    model, rng = pii.train(docs), random.Random(99)
+    rng = random.Random(99)
     vocabulary = ["letter", "street", "number", "please", "write", "call", "office", "today"]
     right = found = wanted = 0
     for _ in range(400):
@@ -241,8 +248,7 @@ def test_pii_added_spans_on_made_texts(rows):
     assert wanted > 50 and right >= 0.6 * wanted and right >= 0.8 * found
 
 
-def test_pii_reads_whole_words_and_long_texts(rows):
-    docs, _, _ = rows
+def test_pii_reads_whole_words_and_long_texts():
     areas = pii.areas_of("see a_long_first_and_last_name_of_a_person @ host . com now and nothing here")
     assert areas and areas[0][0] <= 4
     model = pii.BiLstmCrf()
@@ -294,10 +300,8 @@ def test_lstm_gradient():
             assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
 
 
-def test_toxicity_query_against_brute_force(spark, rows, sf_dir):
+def test_toxicity_query_against_brute_force(spark, cnn, sf_dir):
     """Each whole text on its own through embedding, filters and pooling."""
-    docs, labels, _ = rows
-    cnn = toxicity.train(docs, labels)
     small = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r for r in toxicity.score(small, cnn).collect()}
     for r in small.collect():
