@@ -1,11 +1,13 @@
 """Near-duplicate texts: SimHash and Golay keys nominate, an exact set-similarity join on shingles of five words completes.
 
 A text is the set of the 64-bit hashes of its shingles; texts of one set are a class. A link is a Jaccard similarity of t or
-more, verified on the whole sets. Links serve for components alone, so they are looked for in two rounds:
+more, verified on the whole sets. Links serve for components alone, so they are looked for step by step:
 
 1. Each class is put to one class whose SimHash fingerprint over the same shingles is within two bits (found by Golay keys,
-   see simhash.py), and to the most alike of the first classes at its rare shingles. Near copies mostly meet here.
-2. Fingerprints can't promise all links, as texts of similarity 0.8 differ by some ten bits. So the prefix filter follows, for
+   see simhash.py), and to a few classes at its rare shingles, one for each in an order of its own.
+2. Each class is put to a few classes of other components in the same way. Near copies mostly meet in these rounds, also large
+   groups of them, of which no class is alike to all others.
+3. Fingerprints can't promise all links, as texts of similarity 0.8 differ by some ten bits. So the prefix filter follows, for
    classes in different components alone, as a pair inside one changes nothing. Shingles are ordered by how much of the corpus
    their hash bucket holds (counted over all texts), then by hash; any order that all texts share gives an exact join. Of two
    similar sets, the larger has the first shingle that both share among its first n - ceil(t n) + 1, the smaller among its first
@@ -15,6 +17,8 @@ more, verified on the whole sets. Links serve for components alone, so they are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,19 +153,24 @@ def _bounds(a: str, b: str, num: int, den: int):
     return (nb <= na) & (nb * den >= na * num) & (reach * (num + den) >= (na + nb) * num)
 
 
-def _nearest(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) whose parity bits allow that they are similar, with differ, the number of bits that differ.
+def _differ(a: str, b: str):
+    """The number of parity bits in which arrays a and b differ. Sets of similar sizes have as many bits, or one has twice as
+    many: then its halves are put together."""
+    short = _PARITY // 64
+    plain = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(short))
+    least = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+    bits = F.zip_with(folded(a), folded(b), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.when((F.size(a) == short) & (F.size(b) == short), plain).otherwise(F.aggregate(bits, F.lit(0), lambda x, y: x + y))
+
 
-    Sets of similar sizes have as many bits, or one has twice as many: then its halves are put together."""
+def _nearest(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs(a, b) whose sizes and parity bits allow that they are similar."""
     slim = classes.select("k", "n", "sig")
     for p in ("a", "b"):
         pairs = pairs.join(slim.select(F.col("k").alias(p), F.col("n").alias(f"{p}_n"), F.col("sig").alias(f"{p}_sig")), p)
     pairs = pairs.where((F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num))
-    least = F.least(F.size("a_sig"), F.size("b_sig"))
-    folded = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
-    bits = F.zip_with(folded("a_sig"), folded("b_sig"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
-    pairs = pairs.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("both"), F.aggregate(bits, F.lit(0), lambda x, y: x + y).alias("differ"))
-    return pairs.where(F.col("differ") * (num + den) <= F.col("both") * (den - num)).select("a", "b", "differ")
+    return pairs.where(_differ("a_sig", "b_sig") * (num + den) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -200,9 +209,17 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return same.union(other.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def _most_shared(seen: DataFrame, each: int = 4) -> DataFrame:
+    """(a, b): each class k with up to `each` of its hubs at the shingles h, those with which it has most of them among the hubs of
+    one hash."""
+    shared = seen.groupBy("k", "hub").count().withColumn("x", F.pmod(F.xxhash64("hub"), F.lit(each)))
+    return shared.groupBy("k", "x").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("k").alias("a"), F.col("m.hub").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, k (its class), component_id (smallest doc_id reachable, itself included) over links of
-    texts whose shingle sets have Jaccard similarity num / den or more.
+    texts whose shingle sets have Jaccard similarity num / den or more. The number of rounds with a few pairs for each class
+    changes how many pairs are left for the join, not the result.
 
     Null or wordless texts are one class and link to each other alone. Rows that repeat a doc_id each give a row. A null
     doc_id is kept and counts in its component only if no other row is in it. Texts are read whole, however long. An empty
@@ -216,32 +233,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     posting = classes.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
     posting = posting.select("h", "k", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
     w = Window.partitionBy("h")
-    seen = posting.withColumns({"hub": F.min("k").over(w), "last": F.max("k").over(w)}).where("hub <> last").drop("last")
-    seen = stage(seen, "postings")
+    ends = posting.withColumns({"low": F.min("k").over(w), "high": F.max("k").over(w)})
+    seen = stage(ends.where("low <> high").drop("low", "high"), "postings")
     release(spark)
-    # Round 1: of the first classes at its shingles, each class meets the one whose parity bits are nearest.
-    hubs = _nearest(seen.where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct(), classes, num, den)
-    hubs = hubs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("m")).select("a", "m.b")
-    nominated = _nearest(_by_fingerprint(classes), classes, num, den).select("a", "b")
-    first = stage(hubs.union(nominated).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    links = _verified(first, own, docs, width, num, den)
-    roots = connected_components(links)
-    # Round 2: shingles where classes of several components meet: there every pair of two components not yet looked at.
-    open_ = seen.select("h", "k", "np").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    open_ = open_.withColumns({"low": F.min("root").over(w), "high": F.max("root").over(w)}).where("low <> high")
-    open_ = stage(open_.select("h", *(F.col(c).alias(f"a_{c}") for c in ("k", "np", "root"))), "open")
-    other = open_.select("h", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("k", "np", "root")))
+    known, roots = [], None
+    for turn in range(rounds + 1):
+        # Shingles where classes of several components meet: there each class meets the first of another component in an order
+        # that each shingle and round has for itself.
+        open_ = seen.withColumn("root", F.col("k"))
+        if roots is not None:
+            open_ = seen.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        place = F.struct(F.xxhash64("root", "h", F.lit(turn)).alias("x"), "root", "k")
+        open_ = open_.withColumns({"low": F.min(place).over(w), "high": F.max(place).over(w)}).where("low.root <> high.root")
+        open_ = open_.withColumn("hub", F.when(F.col("root") == F.col("low.root"), F.col("high.k")).otherwise(F.col("low.k")))
+        open_ = stage(open_.drop("low", "high"), "open")
+        if turn == rounds:
+            break
+        pairs = _most_shared(open_)
+        if turn == 0:
+            pairs = pairs.union(_by_fingerprint(classes))
+        pairs = _nearest(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, num, den)
+        known.append(stage(pairs.select("a", "b"), "pairs"))
+        links = _verified(known[-1], own, docs, width, num, den)
+        if roots is not None:
+            links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = connected_components(links)
+        discard(open_)
+    # Every pair of two components not yet looked at.
+    full = open_.join(classes.select("k", "sig"), "k")
+    one, other = (full.select("h", *(F.col(c).alias(f"{p}_{c}") for c in ("k", "np", "root", "sig"))) for p in ("a", "b"))
     ordered = (_size("b_") < _size("a_")) | (F.col("b_k") < F.col("a_k"))
-    again = open_.join(other, "h").where(F.col("a_root") != F.col("b_root")).where(ordered & _bounds("a_", "b_", num, den))
-    again = _nearest(again.select(F.greatest("a_k", "b_k").alias("a"), F.least("a_k", "b_k").alias("b")).distinct(), classes, num, den).select("a", "b")
-    again = stage(again.join(first, ["a", "b"], "left_anti"), "again")
+    alike = _differ("a_sig", "b_sig") * (num + den) <= (_size("a_") + _size("b_")) * (den - num)
+    again = one.join(other, "h").where((F.col("a_root") != F.col("b_root")) & ordered & _bounds("a_", "b_", num, den) & alike)
+    again = again.select(F.greatest("a_k", "b_k").alias("a"), F.least("a_k", "b_k").alias("b")).distinct()
+    again = stage(again.join(reduce(DataFrame.union, known), ["a", "b"], "left_anti"), "again")
     discard(open_)
     release(spark)
     if not again.isEmpty():
         more = _verified(again, own, docs, width, num, den)
         if not more.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    discard(seen, first, again)
+    discard(seen, again, *known)
     own = stage(own.select("k", "least").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "roots")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "k").join(own.join(least, "root").select("k", "component_id"), "k")
