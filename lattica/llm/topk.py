@@ -120,7 +120,7 @@ def select_top(scores: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray
     return first
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 65_536, least_rows: int = 8192, block_queries: int = 64, most_numbers: int = 1 << 22) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 65_536, least_rows: int = 32_768, block_queries: int = 64, most_numbers: int = 1 << 22) -> DataFrame:
     """Queries: rows whose id is divisible by every; candidates: all rows but the query's own. Returns query_id, rank, id, score.
 
     Per query row, the k highest integer inner products (all, if fewer), ties to the smaller id. Rows that repeat an id, or id
