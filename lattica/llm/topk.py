@@ -129,15 +129,16 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     returned as the end of that range. An empty table gives no rows. Other columns are not read.
 
     Queries meet candidates block by block. Blocks are dealt by the rows' numbers and bounded in rows, whatever the ids: block_rows
-    candidates, fewer (down to least_rows) where a small table would leave tasks idle, and at most most_numbers components. Each pair of blocks yields at most k
-    rows for each query, and these are ranked.
+    candidates, fewer (down to least_rows) where a small table would leave tasks idle, and at most most_numbers components. A
+    block of candidates is written as its slices and reaches a task once, not with each block of queries. Each pair of blocks yields
+    at most k rows for each query, and these are ranked.
     """
     spark = vectors.sparkSession
     rows = stage(quantise(vectors, id_col, vector_col, scale).withColumn("u", F.monotonically_increasing_id()), "quantised")
     total, widest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     block_rows = min(block_rows, max(least_rows, math.ceil(total / int(spark.conf.get("spark.sql.shuffle.partitions")))), max(1, most_numbers // (widest or 1)))
 
-    def packed(df: DataFrame, size: int, prefix: str) -> DataFrame:
+    def packed(df: DataFrame, size: int, body) -> DataFrame:
         blocks = max(1, math.ceil(df.count() / size))
 
         def pack(pdf):
@@ -146,48 +147,67 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             pdf = pdf.sort_values(["id", "u"])
             out = []
             for d, own in pdf.groupby(pdf["v"].str.len(), sort=True):
-                values = np.stack(own["v"].to_numpy()).astype("<i8")
-                out.append((int(d), len(own), own["id"].to_numpy("<i8").tobytes(), own["u"].to_numpy("<i8").tobytes(), values.tobytes()))
-            return pd.DataFrame(out, columns=[prefix + c for c in ("d", "n", "ids", "us", "values")])
+                widths, data = body(np.stack(own["v"].to_numpy()).astype("<i8", copy=False))
+                out.append((int(d), len(own), own["id"].to_numpy("<i8").tobytes(), own["u"].to_numpy("<i8").tobytes(), widths, data))
+            return pd.DataFrame(out, columns=["d", "n", "ids", "us", "widths", "data"])
 
-        schema = f"{prefix}d int, {prefix}n int, {prefix}ids binary, {prefix}us binary, {prefix}values binary"
+        schema = "d int, n int, ids binary, us binary, widths binary, data binary"
         dealt = df.withColumn("_b", F.pmod(F.xxhash64("u"), F.lit(blocks)))
-        return dealt.groupBy("_b").applyInPandas(lambda pdf: pack(pdf[["id", "v", "u"]]), schema).withColumn(f"{prefix}b", F.monotonically_increasing_id())
+        return dealt.groupBy("_b").applyInPandas(lambda pdf: pack(pdf[["id", "v", "u"]]), schema).withColumn("b", F.monotonically_increasing_id())
 
-    candidates, queries = stage(packed(rows, block_rows, "c"), "slices"), stage(packed(rows.where(F.col("id") % every == 0), block_queries, "q"), "queries")
+    def index(values: np.ndarray) -> tuple[bytes, bytes]:
+        slices = slices_of(values)
+        return bytes(len(dim) for dim in slices), b"".join(bitmap.tobytes() for dim in slices for _, bitmap in dim)
+
+    candidates = stage(packed(rows, block_rows, index), "slices")
+    queries = stage(packed(rows.where(F.col("id") % every == 0), block_queries, lambda values: (b"", values.tobytes())), "queries")
     discard(rows)
-    # Both sides are blocks now. Each block of queries is sent to each block of candidates, by the block's number.
-    numbers = F.sequence(F.lit(0), F.lit(max(0, candidates.count() - 1)))
-    places = candidates.select("cb").withColumn("place", F.row_number().over(Window.orderBy("cb")) - 1)
-    sent = queries.withColumn("place", F.explode(numbers))
-    pairs = candidates.join(places, "cb").join(sent, "place").where("cd = qd")
+    # Both sides are blocks now. A task gets a block of candidates once, and behind it the blocks of queries that meet it one by
+    # one; where candidates alone would leave tasks idle, the queries' blocks are dealt to parts.
+    blocks = candidates.count()
+    parts = max(1, min(queries.count(), math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / max(1, blocks))))
+    numbered = candidates.join(candidates.select("b").withColumn("place", F.row_number().over(Window.orderBy("b")) - 1), "b")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    keyed = lambda df: df.withColumn("key", F.col("place") * parts + F.col("part"))
+    columns = ["key", "d", "kind", "n", "ids", "us", "widths", "data"]
+    one = keyed(numbered.withColumn("part", each(parts))).withColumn("kind", F.lit(0)).select(*columns)
+    many = keyed(queries.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).withColumn("place", each(blocks))).withColumn("kind", F.lit(1)).select(*columns)
+    meeting = one.union(many).repartition(max(1, blocks * parts), "key").sortWithinPartitions("key", "d", "kind")
 
     def run(batches):
-        kept = (None, None)
+        kept = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, us = np.frombuffer(row["cids"], "<i8"), np.frombuffer(row["cus"], "<i8")
-                if kept[0] != row["cb"]:
-                    kept = (row["cb"], slices_of(np.frombuffer(row["cvalues"], "<i8").reshape(row["cn"], row["cd"])))
-                slices, words = kept[1], -(-len(ids) // 64)
-                everyone = np.packbits(np.pad(np.ones(len(ids), np.uint8), (0, 64 * words - len(ids))), bitorder="little").view("<u8")
-                own = np.frombuffer(row["qvalues"], "<i8").reshape(row["qn"], row["qd"])
+            at_row = {name: batch.column(k) for k, name in enumerate(columns)}
+            for r in range(batch.num_rows):
+                row = {name: column[r].as_py() for name, column in at_row.items()}
+                ids, us = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["us"], "<i8")
+                if row["kind"] == 0:
+                    words, data, at, slices = -(-row["n"] // 64), np.frombuffer(row["data"], "<u8"), 0, []
+                    for width in row["widths"]:
+                        slices.append([(e, data[at + e * words : at + (e + 1) * words]) for e in range(width)])
+                        at += width * words
+                    everyone = np.packbits(np.pad(np.ones(len(ids), np.uint8), (0, 64 * words - len(ids))), bitorder="little").view("<u8")
+                    kept = (row["key"], row["d"], ids, np.argsort(us), np.sort(us), slices, everyone, words)
+                    continue
+                if kept is None or kept[:2] != (row["key"], row["d"]):
+                    continue  # the block has no vectors of this length
+                _, _, of, order, numbers, slices, everyone, words = kept
+                own = np.frombuffer(row["data"], "<i8").reshape(row["n"], row["d"])
                 cols: list[list] = [[] for _ in range(5)]
-                for q, u, vector in zip(np.frombuffer(row["qids"], "<i8").tolist(), np.frombuffer(row["qus"], "<i8").tolist(), own.tolist(), strict=True):
-                    live = everyone
-                    for at in np.flatnonzero(us == u).tolist():
-                        live = everyone.copy()
+                for q, u, vector in zip(ids.tolist(), us.tolist(), own.tolist(), strict=True):
+                    live, place = everyone, int(np.searchsorted(numbers, u))
+                    if place < len(numbers) and numbers[place] == u:
+                        at, live = int(order[place]), everyone.copy()
                         live[at >> 6] &= ~np.uint64(1 << (at & 63))
                     scores, offset = score_slices(slices, vector, words)
                     best = select_top(scores, live, k)
                     # Sums of up to 2**20 products: whole numbers of any size, in two halves for the ranking of all blocks.
                     value = [sum(int(s[at >> 6] >> np.uint64(at & 63) & np.uint64(1)) << e for e, s in enumerate(scores)) - offset for at in best.tolist()]
-                    for c, x in zip(cols, ([q] * len(best), [u] * len(best), ids[best].tolist(), [x >> 64 for x in value], [(x & (1 << 64) - 1) - (1 << 63) for x in value]), strict=True):
+                    for c, x in zip(cols, ([q] * len(best), [u] * len(best), of[best].tolist(), [x >> 64 for x in value], [(x & (1 << 64) - 1) - (1 << 63) for x in value]), strict=True):
                         c += x
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["query_id", "u", "id", "high", "low"])
 
-    columns = ["cb", "cd", "cn", "cids", "cus", "cvalues", "qd", "qn", "qids", "qus", "qvalues"]
-    found = pairs.select(*columns).mapInArrow(run, "query_id long, u long, id long, high long, low long")
+    found = meeting.mapInArrow(run, "query_id long, u long, id long, high long, low long")
     w = Window.partitionBy("u").orderBy(F.desc("high"), F.desc("low"), "id")
     # The low half was moved down by 2**63: a score in the range of a long has a high half of 0 or -1 that agrees with it.
     low = F.col("low").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))

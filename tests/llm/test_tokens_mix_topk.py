@@ -116,6 +116,19 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_sends_a_block_of_candidates_once(spark):
+    """Blocks of queries stream behind a block of candidates; a join would copy the block for each of them."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-300, 300, (150, 6)) / 256
+    found = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), every=5, block_rows=50, least_rows=10, block_queries=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]
+    assert plan.split("\n")[1].strip(" :+-").startswith("Sort") and "Join" not in plan.split("Union")[0]
+    whole = np.floor(256 * vectors).astype(np.int64)
+    scores = whole @ whole.T
+    expected = {(q, r + 1, c, int(scores[q, c])) for q in range(0, 150, 5) for r, c in enumerate(sorted((c for c in range(150) if c != q), key=lambda c: (-scores[q, c], c))[:5])}
+    assert {tuple(r) for r in found.collect()} == expected
+
+
 def test_top_k_rows_against_sql(spark):
     """Repeated rows, also of queries, unequal lengths, components up to 1e300 and scores beyond a long."""
     rng = np.random.default_rng(4)
