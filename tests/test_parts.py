@@ -50,7 +50,7 @@ def test_parts_give_whole_answers(loose):
 
 def test_large_queries_work_by_parts(spark, sf_dir):
     """No task of these gets a matrix whole."""
-    for name in ("logdet_graph", "fill_bipartite", "inverse_vs_solve", "ordering_choice"):
+    for name in ("logdet_graph", "fill_bipartite", "inverse_vs_solve", "ordering_choice", "ordering_valid"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "part" in plan, name
     assert queries.QUERIES["fill_bipartite"](spark, sf_dir).exceptAll(numeric.factor_pattern(queries.d2(spark, sf_dir)).where("i <> j")).isEmpty()
