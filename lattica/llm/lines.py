@@ -7,15 +7,18 @@ larger has the first word that both share among its first n - ceil(t n) + 1, the
 n - ceil(2 t n / (1 + t)) + 1 (prefix filter). Lengths, the places of that word and 128 parity bits bound what they can share
 at most; 256 parity bits of the words, read again from the lines, bound it closer. What is left is verified on the words' 64-bit hashes.
 
-All pairs of similar classes are found, also within large groups. A line is removed if an earlier one is similar; each class
-has the number of its links to other classes besides.
+Classes that share rare words with many others form families. A family's core are the words that most of its classes
+have; a class is the core but for its edits. Most links within a family follow from the numbers of edits alone and are counted
+without making pairs; the rest share edits and meet by these. Families only say how links are found, never which: whatever the
+core, all pairs of similar classes are found, also within large groups. A line is removed if an earlier one is similar; each
+class has the number of its links to other classes besides.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, small_join, stage
@@ -24,6 +27,8 @@ _BITS = 17
 _BUCKETS = 1 << _BITS
 _LEVELS = 5  # bits of a rank that hold a word's rarity
 _NONE = -(1 << 63)  # stands for a null doc_id
+_ID_BITS = 46  # bits of a class's id; a family's number stands above them in postings
+_PLACE = ["d", "th", "line"]
 
 
 def _spaced(text: F.Column) -> F.Column:
@@ -89,8 +94,84 @@ def line_classes(docs: DataFrame, table: list[int], num: int = 4, den: int = 5)
     return stage(first.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
-def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(a, b), ids of classes that pass the prefix, length, position and parity filters; each pair once, a is the larger set."""
+def _joined(classes: DataFrame, least: int) -> DataFrame:
+    """(id, g): classes by family, numbered from the largest; those of no family are left out.
+
+    A family is nominated by least classes or more whose prefixes have the same two words of least hash: the rarest words
+    of near copies are often their edits. Its classes have half of the words, and three at least, that half of the
+    nominated ones have in their prefixes.
+    """
+    keyed = classes.where(F.size("prefix") >= 4).select("id", "prefix")
+    plain = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << (63 - _LEVELS)) - 1)))
+    named = keyed.select("id", "prefix", F.xxhash64(F.slice(F.sort_array(plain), 1, 2)).alias("key"))
+    hot = named.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    hot = hot.withColumn("g", F.row_number().over(Window.orderBy(F.desc("m"), "key")).cast("long"))
+    # Numbers beyond the bits in a posting: such classes meet by pairs like those of no family.
+    hot = stage(hot.where(F.col("g") < 1 << (63 - _ID_BITS)), "hot")
+    words = small_join(named, hot, ["key"]).select("g", "m", F.explode("prefix").alias("word"))
+    words = words.groupBy("g", "m", "word").agg(F.count("*").alias("c")).where(F.col("c") * 2 >= F.col("m"))
+    words = words.select("word", "g", F.count("*").over(Window.partitionBy("g")).alias("of"))
+    words = stage(words, "words")
+    met = small_join(keyed.select("id", F.explode("prefix").alias("word")), words, ["word"], max_rows=500_000)
+    met = met.groupBy("id", "g", "of").agg(F.count("*").alias("c")).where("c >= 3 and 2 * c >= of")
+    out = stage(met.groupBy("id").agg(F.min("g").alias("g")), "joined")
+    discard(hot, words)
+    return out
+
+
+def families(classes: DataFrame, docs: DataFrame, num: int = 4, den: int = 5, least: int = 24) -> DataFrame:
+    """(id, g, at, x, room, edits): the classes similar to their family's core, and the hashes of the words that they have or
+    lack beyond it. Two classes of a family are similar if x + x' <= room + (num + den) * (number of edits that both have)."""
+    joined = _joined(classes, least)
+    wanted = stage(small_join(classes.select("id", *_PLACE), joined, ["id"], max_rows=500_000), "wanted")
+    found, one = _first_lines(wanted, docs)
+    sets = stage(one.select("id", "g", F.struct(*_PLACE).alias("at"), _hashes().alias("w")), "family_sets")
+    sizes = sets.groupBy("g").agg(F.count("*").alias("m"))
+    words = sets.select("g", F.explode("w").alias("word")).groupBy("g", "word").agg(F.count("*").alias("c"))
+    core = words.join(sizes, "g").where(F.col("c") * 2 > F.col("m")).groupBy("g").agg(F.collect_list("word").alias("core"))
+    lacks, has = F.array_except("core", "w"), F.array_except("w", "core")
+    own = sets.join(core, "g").select("id", "g", "at", lacks.alias("lacks"), has.alias("has"), ((den - num) * F.size("core")).alias("room"))
+    own = own.select("id", "g", "at", (F.size("lacks") * den + F.size("has") * num).alias("x"), "room", F.concat("lacks", "has").alias("edits"))
+    out = stage(own.where(F.col("x") <= F.col("room")), "families")
+    discard(joined, wanted, found, sets)
+    return out
+
+
+def _edit_pairs(own: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes of families() that are similar for edits that both have: they meet by the least of these."""
+    side = lambda p: own.select("g", F.explode("edits").alias("e"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "at", "x", "edits")), F.col("room").alias(f"{p}_room"))
+    over = F.col("a_x") + F.col("b_x") - F.col("a_room")
+    few = F.least(F.size("a_edits"), F.size("b_edits")) * (num + den)
+    common = F.array_intersect("a_edits", "b_edits")
+    both = side("a").join(side("b"), ["g", "e"])
+    return both.where((F.col("a_id") < F.col("b_id")) & (over > 0) & (few >= over) & (F.size(common) * (num + den) >= over) & (F.array_min(common) == F.col("e")))
+
+
+def _family_links(own: DataFrame, num: int, den: int) -> DataFrame:
+    """families() to (id, d, th, line, links, gone) within families, in several rows for a class."""
+    # Similar whatever their edits: counted by x.
+    steps = own.groupBy("g", "x").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    steps = steps.groupBy("g").agg(F.collect_list(F.struct("x", "n", "first")).alias("steps"))
+    near = F.filter("steps", lambda s: s.x + F.col("x") <= F.col("room"))
+    within = own.join(steps, "g").select("id", "at", "x", "room", near.alias("near"))
+    count = F.aggregate("near", F.lit(0).cast("long"), lambda a, s: a + s.n) - F.when(F.col("x") * 2 <= F.col("room"), 1).otherwise(0)
+    within = within.select("id", "at.*", count.alias("links"), F.exists("near", lambda s: s.first < F.col("at")).cast("int").alias("gone"))
+    both = _edit_pairs(own, num, den)
+    ends = both.select(F.explode(F.array(_end("a_id", "a_at", "b_at"), _end("b_id", "b_at", "a_at"))).alias("e"))
+    return within.union(ends.select("e.id", "e.at.*", F.lit(1).cast("long"), "e.later"))
+
+
+def _end(of: str, at: str, other: str) -> F.Column:
+    return F.struct(F.col(of).alias("id"), F.col(at).alias("at"), (F.col(at) > F.col(other)).cast("int").alias("later"))
+
+
+def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5, own: DataFrame | None = None) -> DataFrame:
+    """(a, b), ids of classes that pass the prefix, length, position and parity filters; each pair once, a is the larger set.
+    Pairs within one of the families own(id, g) are left out."""
+    if own is not None:
+        classes = small_join(classes, own.select("id", "g"), ["id"], "left", 500_000)
+        above = F.call_function("shiftleft", F.coalesce("g", F.lit(0).cast("long")), F.lit(_ID_BITS))
+        classes = classes.withColumn("id", above.bitwiseOR(F.col("id")))
     posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sig", "sig2")
     size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves both sides of the join.
@@ -105,8 +186,31 @@ def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     ordered = (nb < na) | ((nb == na) & (F.col("b_id") < F.col("id")))
     reach = F.least(na - place(""), nb - place("b_"))
     differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("b_sig2")))
-    both = posting.join(small, "word").where(ordered & (nb * den >= na * num) & (reach >= least) & (differ <= na + nb - 2 * least))
-    return both.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
+    apart = F.lit(True)
+    if own is not None:
+        apart = (F.col("id") < 1 << _ID_BITS) | (F.col("id").bitwiseXOR(F.col("b_id")) >= 1 << _ID_BITS)
+    both = posting.join(small, "word").where(ordered & apart & (nb * den >= na * num) & (reach >= least) & (differ <= na + nb - 2 * least))
+    low = F.lit((1 << _ID_BITS) - 1 if own is not None else -1).cast("long")
+    return both.select(F.col("id").bitwiseAND(low).alias("a"), F.col("b_id").bitwiseAND(low).alias("b")).distinct()
+
+
+def _hashes() -> F.Column:
+    """The set of the words of t, by 64-bit hashes."""
+    return F.array_distinct(F.transform(_split(F.col("t")), lambda x: F.xxhash64(x)))
+
+
+def _first_lines(wanted: DataFrame, docs: DataFrame, most_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """The lines of docs where wanted(id, d, th, line, ...) stand, with their text t: the stage, and one of its rows for each id."""
+    rows = _keyed(docs)
+    # Rows of 28 bytes each, 36 with a family: most_rows bounds what is broadcast.
+    if wanted.limit(most_rows + 1).count() <= most_rows:
+        rows = rows.join(F.broadcast(wanted.select("d").distinct()), "d", "left_semi")
+        found = _lines(rows).join(F.broadcast(wanted), _PLACE)
+    else:
+        found = _lines(rows).join(wanted, _PLACE)
+    found = stage(found.withColumn("u", F.monotonically_increasing_id()), "found")
+    # Rows of docs that repeat give a line more than once: the first by number stands for all.
+    return found, small_join(found, found.groupBy("id").agg(F.min("u").alias("u")).select("u"), ["u"], "left_semi", most_rows)
 
 
 def _parities(sets: DataFrame) -> DataFrame:
@@ -118,21 +222,12 @@ def _parities(sets: DataFrame) -> DataFrame:
     return words.groupBy("id").agg(F.count("*").alias("n"), *parts)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, most_rows: int = 500_000) -> DataFrame:
-    """For each class in pairs(a, b) that are similar: id, d, th, line, links (number of similar classes) and gone (whether one
-    of them stands earlier). Words are read again from the lines where the classes first stand, and compared by 64-bit hashes."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, own: DataFrame | None = None) -> DataFrame:
+    """For each class in pairs(a, b) that are similar, or in own of families(): id, d, th, line, links (number of similar
+    classes) and gone (whether one of them stands earlier). Words are read again from the lines where the classes first stand, and compared by 64-bit hashes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = stage(classes.select("id", "d", "th", "line").join(ids, "id", "left_semi"), "wanted")
-    rows, place = _keyed(docs), ["d", "th", "line"]
-    # Rows of 28 bytes each: most_rows bounds what is broadcast.
-    if wanted.limit(most_rows + 1).count() <= most_rows:
-        rows = rows.join(F.broadcast(wanted.select("d").distinct()), "d", "left_semi")
-        found = _lines(rows).join(F.broadcast(wanted), place)
-    else:
-        found = _lines(rows).join(wanted, place)
-    found = stage(found.withColumn("u", F.monotonically_increasing_id()), "found")
-    # Rows of docs that repeat give a line more than once: the first by number stands for all.
-    one = small_join(found, found.groupBy("id").agg(F.min("u").alias("u")).select("u"), ["u"], "left_semi", most_rows)
+    found, one = _first_lines(wanted, docs)
     parities = stage(_parities(one), "parities")
     near = pairs
     for p in ("a", "b"):
@@ -141,15 +236,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
     both = F.col("a_n") + F.col("b_n")
     near = stage(near.where(differ * (num + den) <= both * (den - num)).select("a", "b"), "near")
     sets = one.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    hashes = F.array_distinct(F.transform(_split(F.col("t")), lambda x: F.xxhash64(x)))
-    sets = stage(sets.select("id", F.struct(*place).alias("at"), hashes.alias("w")), "sets")
+    sets = stage(sets.select("id", F.struct(*_PLACE).alias("at"), _hashes().alias("w")), "sets")
     side = lambda p: sets.select(F.col("id").alias(p), F.col("at").alias(f"{p}_at"), F.col("w").alias(f"{p}_w"))
     both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_w", "b_w"))
     similar = both.where(common * (num + den) >= (F.size("a_w") + F.size("b_w")) * num)
-    end = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"{x}_at").alias("at"), (F.col(f"{x}_at") > F.col(f"{y}_at")).alias("later"))
-    ends = similar.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.id", "e.at.*", "e.later")
-    out = stage(ends.groupBy("id", *place).agg(F.count("*").alias("links"), F.max(F.col("later").cast("int")).alias("gone")), "similar")
+    ends = similar.select(F.explode(F.array(_end("a", "a_at", "b_at"), _end("b", "b_at", "a_at"))).alias("e"))
+    ends = ends.select("e.id", "e.at.*", F.lit(1).cast("long").alias("links"), F.col("e.later").alias("gone"))
+    if own is not None:
+        ends = ends.union(_family_links(own, num, den))
+    out = stage(ends.groupBy("id", *_PLACE).agg(F.sum("links").alias("links"), F.max("gone").alias("gone")), "similar")
     discard(wanted, found, parities, near, sets)
     return out
 
@@ -164,10 +260,12 @@ def kept_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """
     classes = line_classes(docs, _shares(docs), num, den)
     release(docs.sparkSession)
-    pairs = stage(candidate_pairs(classes, num, den), "pairs")
+    # An id too large for the bits that postings give it (more than 8,192 tasks): all classes meet by pairs.
+    own = families(classes, docs, num, den) if classes.where(F.col("id") >= 1 << _ID_BITS).isEmpty() else None
+    pairs = stage(candidate_pairs(classes, num, den, own), "pairs")
     release(docs.sparkSession)
-    linked = _verified(pairs, classes, docs, num, den)
-    discard(pairs)
+    linked = _verified(pairs, classes, docs, num, den, own)
+    discard(pairs, *([own] if own is not None else []))
     release(docs.sparkSession)
     rows = classes.select("d", "th", "line", F.lit(None).cast("long").alias("links"), F.lit(0).alias("gone"))
     rows = rows.union(linked.select("d", "th", "line", "links", "gone"))

@@ -185,3 +185,34 @@ def test_lines_with_a_word_in_every_line(spark):
     assert {r.doc_id: list(r.removed) for r in got} == helpers.lines(rows)
     assert {r.doc_id: [(x.line, x.n) for x in r.links] for r in got} == class_links(rows)
     assert {r.n_lines for r in got} == {3}
+
+
+def test_lines_of_large_families_without_their_pairs(spark, monkeypatch):
+    """Edits of a line beyond and within reach of each other: all links are counted, and few are made as pairs."""
+    made, stage = {}, lines.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name in ("pairs", "near"):
+            made[name] = out.count()
+        if name == "families":
+            made["edits"] = lines._edit_pairs(out, 4, 5).count()
+        return out
+
+    monkeypatch.setattr(lines, "stage", counted)
+    rng = random.Random(31)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for v in range(250):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 9))):
+                w[rng.randrange(60)] = f"v{rng.randrange(90)}" if rng.random() < 0.5 else f"u{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**9), " ".join(w)))
+    rows.sort()
+    expected = class_links(rows)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(x.line, x.n) for x in r.links] for r in got} == expected
+    assert {r.doc_id: list(r.removed) for r in got} == helpers.lines(rows)
+    links = sum(n for own in expected.values() for _, n in own) // 2
+    assert links > 10_000 and sum(made.values()) < links / 4, (links, made)
