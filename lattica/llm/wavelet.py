@@ -12,11 +12,14 @@ Planes run from the most significant bit down; below each, ids with a zero stand
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,7 +126,8 @@ class WaveletMatrix:
         for b in range(depth - 1, -1, -1):
             bits = (x & x.dtype.type(1 << b)) != 0
             planes.append(_Plane.of(bits))
-            x = np.concatenate((x[~bits], x[bits]))
+            # By places: masks take longer where bits are mixed.
+            x = np.concatenate((x[np.flatnonzero(~bits)], x[np.flatnonzero(bits)]))
         return cls(planes, len(ids))
 
     def __len__(self) -> int:
@@ -136,8 +140,8 @@ class WaveletMatrix:
         for b, plane in enumerate(reversed(self.planes)):
             bits, zeros = plane.bits(), plane.zeros
             up = np.empty_like(x)
-            up[~bits] = x[:zeros]
-            up[bits] = x[zeros:] | x.dtype.type(1 << b)
+            up[np.flatnonzero(~bits)] = x[:zeros]
+            up[np.flatnonzero(bits)] = x[zeros:] | x.dtype.type(1 << b)
             x = up
         return x.astype(np.uint32)
 
@@ -244,19 +248,26 @@ class WordEncoder:
     Valid for tokenizers whose normalizer composes (NFC) and lower-cases and, like the pre-tokenizer, never joins characters
     across ASCII blanks, which splits runs of letters from runs of ASCII punctuation, and whose model ends each pre-token with
     end_mark. Whether a tokenizer is one is looked up in its description and tried on PROBES; any other encodes whole texts.
-    Words that are letters once normalised, with punctuation (no apostrophe) at their end or none, are taken apart, their letters
-    encoded many at a time and cut at end_mark; all others are encoded one by one. Memory is bounded: beyond limit words, all
-    are forgotten.
+    Arrow splits the texts and finds their different words, so that each of these is looked up once for a chunk of texts. Words that
+    are letters once normalised, with punctuation (no apostrophe) at their end or none, are taken apart, their letters
+    encoded many at a time and cut at end_mark; all others are encoded one by one. Letters of LETTERS are lower-cased one by one,
+    which NFC leaves as they are: they need no normalizer, and no pattern to find where they end. Memory is bounded: beyond limit
+    words, all are forgotten.
     """
 
     PROBES = ("The cat's tail, it\u2019s   on\tthe mat.\nEnd!", "\u0130@ \u0958. \u00dcn\u00ef na\u00efve; Stra\u00dfe! \u0391\u03a3, e\u0301a?", "don't WE'LL 12,5 x_1 (a) $%& __a__ end", "a.b c\u00a0d\u3000e\x85f <|x|>")
 
-    PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+    PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+    #: The Latin letters before U+0250, but for the one whose lower case is two characters.
+    LETTERS = "".join(x for x in map(chr, range(0x250)) if x.isalpha() and x != "\u0130")
+
+    _TOGETHER = 64  # words in a text for the tokenizer, and texts in a call
 
     def __init__(self, path: str, end_id: int = 1, end_mark: str = "</w>", limit: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.lean = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for x, i in vocab.items() if x.endswith(end_mark)]] = True
@@ -270,22 +281,32 @@ class WordEncoder:
             self._forget()
 
     def _described(self, end_mark: str) -> bool:
+        """Whether the tokenizer is as the class wants it; if so, lean is one of its model for lower-case words of LETTERS."""
         told = json.loads(self.tokenizer.to_str())
         steps = (told["normalizer"] or {}).get("normalizers", [told["normalizer"] or {}])
         split = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"] or {}])
-        return {x.get("type") for x in steps} == {"NFC", "Replace", "Lowercase"} and split[0].get("type") == "Split" and told["model"].get("end_of_word_suffix") == end_mark
+        fit = {x.get("type") for x in steps} == {"NFC", "Replace", "Lowercase"} and split[0].get("type") == "Split" and told["model"].get("end_of_word_suffix") == end_mark
+        # Added tokens of letters alone would be found in words; a text of words holds no others.
+        plain = all(re.search(r"[^\w\s]", x["content"]) for x in told["added_tokens"])
+        if fit and plain and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in split[1:]] == [("ByteLevel", False, False)]:
+            from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            self.lean = Tokenizer(self.tokenizer.model)
+            self.lean.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return fit
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        # Place 0 is a document's end, place 1 is nothing: no word is empty.
-        self.places, self.used = {b"": 0}, 2
+        # Place 0 is a document's end, place 1 is nothing.
+        self.places, self.used = {"": 1}, 2
         self.pool, self.pool_used = np.full(1 << 16, self.end_id, np.uint32), 1
         self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.sizes[0] = 1
 
-    def _add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Gives words the next places; ids are theirs one after the other."""
         n, m = self.used + len(words), self.pool_used + len(ids)
         while n > len(self.begins):
@@ -298,19 +319,26 @@ class WordEncoder:
         self.places.update(zip(words, range(self.used, n), strict=True))
         self.used, self.pool_used = n, m
 
-    def _add_lists(self, words: list[bytes], lists: list[list[int]]) -> None:
+    def _add_lists(self, words: list[str]) -> None:
+        lists = [self.encode(x) for x in words]
         if words:
             self._add(words, np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.uint32))
 
-    def _add_plain(self, cores: list[bytes]) -> None:
-        for i in range(0, len(cores), 1000):
-            part = cores[i : i + 1000]
-            ids = np.array(self.encode(b" ".join(part).decode()), np.int64)
+    def _add_plain(self, cores: list[str], tokenizer) -> None:
+        """Adds words of letters. Texts of few words take less time for a word than long ones."""
+        k = self._TOGETHER
+        for i in range(0, len(cores), k * k):
+            part = cores[i : i + k * k]
+            texts = [part[j : j + k] for j in range(0, len(part), k)]
+            told = [x.ids for x in tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(told), np.int64)
             ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
+            # The words of each text end where it ends.
+            last = np.cumsum([len(x) for x in told])
+            if np.array_equal(np.searchsorted(ends, last, "right"), np.cumsum([len(x) for x in texts])) and np.isin(last, ends).all():
                 self._add(part, np.diff(ends, prepend=0), ids)
             else:  # some word isn't one pre-token
-                self._add_lists(part, [self.encode(x.decode()) for x in part])
+                self._add_lists(part)
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids) of the words at places."""
@@ -320,55 +348,70 @@ class WordEncoder:
         shift += np.arange(len(shift))
         return sizes, self.pool[shift]
 
-    def _learn(self, words: set[bytes]) -> None:
-        joined, heads, tails, cores, odd = [], [], [], [], []
-        for word in words:
+    def _found(self, words: list[str]) -> np.ndarray:
+        """Their places, -1 for those that are new."""
+        return np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+
+    def _looked_up(self, cores: list[str], letters: list[str], rest: list[str]) -> list[np.ndarray]:
+        """The places of each; new ones are added. cores: lower-case, of LETTERS; letters: of any others; rest: encoded one by one."""
+        kinds = cores, letters, rest
+        found = [self._found(x) for x in kinds]
+        new = [list(dict.fromkeys(x[i] for i in np.flatnonzero(at < 0).tolist())) for x, at in zip(kinds, found, strict=True)]
+        if any(new):
+            if len(self.places) + sum(map(len, new)) > self.limit:
+                self._forget()
+                new = [[y for y in dict.fromkeys(x) if y] for x in kinds]
+                found = [np.full(len(x), -1) for x in kinds]
+            self._add_plain(new[0], self.lean)
+            self._add_plain(new[1], self.tokenizer)
+            self._add_lists(new[2])
+            for x, at in zip(kinds, found, strict=True):
+                missing = np.flatnonzero(at < 0)
+                at[missing] = self._found([x[i] for i in missing.tolist()])
+        return found
+
+    def _pairs(self, words: pa.StringArray) -> np.ndarray:
+        """Two places for each word: those of its letters and of the punctuation behind them."""
+        size, listed = pc.binary_length, lambda x: x.to_numpy(zero_copy_only=False).tolist()  # in less time than to_pylist()
+        cores, tails = pc.ascii_rtrim(words, self.PUNCTUATION), pc.utf8_ltrim(words, self.LETTERS)
+        plain = pc.equal(pc.add(size(cores), size(tails)), size(words))
+        cores, tails = (pc.dictionary_encode(x.filter(plain)) for x in (pc.utf8_lower(cores), tails))
+        letters, odd_tails = [], []
+        odd = listed(words.filter(pc.invert(plain)))
+        is_word = np.zeros(len(odd), bool)
+        for k, word in enumerate(odd):
             core = word.rstrip(self.PUNCTUATION)
-            if core.isalpha():
-                lower = core.lower()
-            elif core and unicodedata.normalize("NFC", core.decode()).lower().isalpha():
-                lower = core
-            else:
-                odd.append(word)
-                continue
-            if word != lower:
-                joined.append(word)
-                heads.append(lower)
-                tails.append(word[len(core) :])
-            cores.append(lower)
-        known = self.places
-        self._add_plain([x for x in dict.fromkeys(cores) if x not in known])
-        parts = {x for x in tails if x and x not in known}
-        odd += parts.difference(odd)
-        self._add_lists(odd, [self.encode(x.decode()) for x in odd])
-        if joined:
-            place = np.empty((len(joined), 2), np.int64)
-            place[:, 0] = np.fromiter(map(known.__getitem__, heads), np.int64, len(joined))
-            place[:, 1] = np.fromiter((known[x] if x else 1 for x in tails), np.int64, len(joined))
-            sizes, ids = self._gather(place.ravel())
-            self._add(joined, sizes.reshape(-1, 2).sum(1), ids)
+            is_word[k] = bool(core) and unicodedata.normalize("NFC", core).lower().isalpha()
+            if is_word[k]:
+                letters.append(core)
+            odd_tails.append(word[len(core) :] if is_word[k] else word)
+        own, ends = listed(cores.dictionary), listed(tails.dictionary)
+        own, letters, rest = self._looked_up(own, letters, ends + odd_tails)
+        out, plain = np.ones((len(words), 2), np.int64), plain.to_numpy(zero_copy_only=False)
+        out[plain, 0], out[plain, 1] = own[cores.indices.to_numpy()], rest[tails.indices.to_numpy()]
+        first = np.ones(len(odd), np.int64)
+        first[is_word] = letters
+        out[~plain, 0], out[~plain, 1] = first, rest[len(ends) :]
+        return out
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths with the end id, ids of all one after the other)."""
         if not self.by_word:
             own = [self.encode(t or "") + [self.end_id] for t in texts]
             return np.fromiter(map(len, own), np.int64, len(own)), np.array([i for x in own for i in x], np.uint32)
-        words, counts = [], []
-        for text in texts:
-            own = text.encode("utf-8", "replace").split() if text else []
-            words += own
-            words.append(b"")
-            counts.append(len(own) + 1)
-        new = set(words).difference(self.places)
-        if new:
-            if len(self.places) + len(new) > self.limit:
-                self._forget()
-                new = set(words).difference(self.places)
-            self._learn(new)
-        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes, ids = self._gather(place)
-        starts = np.cumsum(counts) - counts
-        return np.add.reduceat(sizes, starts) if counts else np.zeros(0, np.int64), ids
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # Splits at just the blanks that WORD leaves out; at a text's ends there may be empty words.
+        split = pc.ascii_split_whitespace(pa.array([t.encode("utf-8", "replace") if t else b"" for t in texts], pa.binary()).cast(pa.string()))
+        words = pc.dictionary_encode(split.flatten())
+        pairs = self._pairs(words.dictionary)
+        counts = np.diff(split.offsets.to_numpy())
+        place = np.zeros((len(words) + len(texts), 2), np.int64)
+        place[np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts)] = pairs[words.indices.to_numpy()]
+        ends = np.cumsum(counts + 1)
+        place[ends - 1] = 0, 1
+        sizes, ids = self._gather(place.ravel())
+        return np.add.reduceat(sizes, 2 * (ends - counts - 1)), ids
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_tokens: int = 1 << 19) -> None:

@@ -190,3 +190,16 @@ def test_occurrences_from_the_files(spark, sf_dir, tmp_path):
         for i, _ in expected:
             counts[i] = counts.get(i, 0) + 1
         assert {r.doc_id: r.n for r in wavelet.occurrences(shards, symbol, places=False).collect()} == counts
+
+
+def test_word_encoder_learns_letters_and_punctuation_once():
+    """Forms of a word share its letters' ids; those of plain letters come from a tokenizer without normalizer and pattern."""
+    t, own = tokenizer(), wavelet.WordEncoder(queries.tokenizer_path())
+    words = [f"{a}{b}ße" for a in "abcdefghijklmnopqrst" for b in "éñüklmnopq"]
+    ends = ["", *(x + y for x in ".,!?;" for y in ["", "*", ")"])]
+    texts = [" ".join(form(w) + e for w in words) for e in ends for form in (str.lower, str.title, str.upper)]
+    lengths, ids = own.documents([*texts, *own.LETTERS])
+    told = [t.encode(x, add_special_tokens=False).ids + [1] for x in [*texts, *own.LETTERS]]
+    assert lengths.tolist() == list(map(len, told)) and ids.tolist() == [i for x in told for i in x]
+    # Upper case of the sharp s is other letters.
+    assert own.used <= 2 + 2 * len(words) + len(ends) + len(own.LETTERS)
