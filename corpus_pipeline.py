@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 all rows that its predecessor kept. Labels, benchmark and training rows come from the tables in sf_dir.
 
 In every stage: texts are read whole, however long; nulls in other columns and columns beyond those of documents are carried along;
-an empty table gives no rows. What a stage does with null and empty texts, null or repeated ids and ties is said with it.
+an empty table gives no rows; executors give memory back before it begins. What a stage does with null and empty texts, null or repeated ids and ties is said with it.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import decontaminate, mixing, near, toxicity, wavelet
-from lattica.llm.common import stage
+from lattica.llm.common import shrink, stage
 from lattica.llm.queries import tokenizer_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts toxic go. Null and empty texts are scored as one without words; rows that repeat
     are scored alike. Without labelled rows of both classes nothing goes."""
+    shrink(spark)
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity.keep_clean(docs, toxicity.train(documents, labels))
 
@@ -28,11 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null, empty and wordless texts are one group. Rows of one doc_id stay or go together; a null doc_id stays if its group has no
     other row."""
+    shrink(spark)
     return near.keep_representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item is found go. Null and empty texts stay; rows that repeat are searched alike."""
+    shrink(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.keep_clean(docs, decontaminate.prepare(docs, benchmark))
 
@@ -40,12 +43,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to two times. Null texts count no words and null sources are a source; ties in
     size go by doc_id; rows that repeat are documents of their own."""
+    shrink(spark)
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in token shards; one row for each document in them, read back from the files. Null and empty texts are documents of
     the end id alone; null ids come first; the copies that the mix made stand next to each other."""
+    shrink(spark)
     return wavelet.encode_documents(docs, tokenizer_path())
 
 

@@ -42,6 +42,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """release(), and a full collection in each executor: its heap and buffers grow with what is garbage, and only such a
+    collection gives memory back to the system, which its Python workers share."""
+    release(spark)
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    # Without executors (a local session) the driver's collection was all. Idle executors get one task each.
+    if executors > 0:
+        spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def kept_by_worker(key: tuple, make):
     """make(), made once in each Python worker and kept over its tasks; for things that depend on key alone."""
     import sys

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, release, small_join, stage, words_of
+from .common import chunks, discard, shrink, small_join, stage, words_of
 from .components import connected_components
 from .passages import _mix, _rolled
 from .simhash import _LOWER, near_links
@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, width: int, num
     common = F.size(F.array_intersect("wa", "wb"))
     out = stage(both.where(common * (num + den) >= (F.size("wa") + F.size("wb")) * num).select("a", "b"), "links")
     discard(wanted, every)
-    release(docs.sparkSession)
+    shrink(docs.sparkSession)
     return out
 
 
@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     prints = stage(_prints(docs, _levels(docs, width), width, num, den).withColumn("u", F.monotonically_increasing_id()), "prints")
     own = stage(prints.groupBy("k").agg(F.min("doc_id").alias("least"), F.min("u").alias("u")), "classes")
+    shrink(spark)
     # A row for each class, without shuffling what is large.
     classes = small_join(prints, own.select("u"), ["u"], "left_semi", _MOST).where("n > 0")
     posting = classes.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     w = Window.partitionBy("h")
     ends = posting.withColumns({"low": F.min("k").over(w), "high": F.max("k").over(w)})
     seen = stage(ends.where("low <> high").drop("low", "high"), "postings")
-    release(spark)
+    shrink(spark)
     known, roots = [], None
     for turn in range(rounds + 1):
         # Shingles where classes of several components meet: there each class meets the first of another component in an order
@@ -254,11 +255,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
             pairs = pairs.union(_by_fingerprint(classes))
         pairs = _nearest(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, num, den)
         known.append(stage(pairs.select("a", "b"), "pairs"))
+        shrink(spark)
         links = _verified(known[-1], own, docs, width, num, den)
         if roots is not None:
             links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = connected_components(links)
         discard(open_)
+        shrink(spark)
     # Every pair of two components not yet looked at.
     full = open_.join(classes.select("k", "sig"), "k")
     one, other = (full.select("h", *(F.col(c).alias(f"{p}_{c}") for c in ("k", "np", "root", "sig"))) for p in ("a", "b"))
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     again = again.select(F.greatest("a_k", "b_k").alias("a"), F.least("a_k", "b_k").alias("b")).distinct()
     again = stage(again.join(reduce(DataFrame.union, known), ["a", "b"], "left_anti"), "again")
     discard(open_)
-    release(spark)
+    shrink(spark)
     if not again.isEmpty():
         more = _verified(again, own, docs, width, num, den)
         if not more.isEmpty():
