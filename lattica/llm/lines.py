@@ -17,8 +17,9 @@ class has the number of its links to other classes besides.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, small_join, stage
@@ -55,32 +56,49 @@ def _lines(rows: DataFrame) -> DataFrame:
     return lines.where(F.trim("t") != "")
 
 
+@contextmanager
+def _fast_map_bits(spark: SparkSession, bits: int):
+    """While it is open, sums by a number are kept in the fast map of generated code up to 1 << bits groups, not 1 << 16."""
+    key = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(bits))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _shares(docs: DataFrame) -> list[int]:
-    """For each bucket of word hashes 0, or a level up to 31: twice the binary logarithm of how many times the mean it holds."""
+    """For each bucket of word hashes a level from 0 to 31: 16 and twice the binary logarithm of how many times the mean it holds."""
     spaced = F.replace(_spaced(F.col("text").cast("string")), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> ''")
-    counts = stage(words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - _BITS).alias("b")).groupBy("b").count(), "shares")
+    counts = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - _BITS).alias("b")).groupBy("b").count()
+    with _fast_map_bits(docs.sparkSession, _BITS):
+        counts = stage(counts, "shares")
     mean = (counts.agg(F.sum("count")).first()[0] or 0) / _BUCKETS
     table = [0] * _BUCKETS
-    # A row for each bucket at most; those that hold little more than the mean stay at 0.
-    for b, n in counts.where(F.col("count") > mean).collect():
-        table[b] = min((1 << _LEVELS) - 1, 1 + int(2 * math.log2(n / mean)))
+    # A row for each bucket at most; empty ones stay at 0.
+    top = (1 << _LEVELS) - 1
+    for b, n in counts.collect():
+        table[b] = max(0, min(top, (top + 1) // 2 + math.floor(2 * math.log2(n / mean))))
     discard(counts)
     return table
 
 
 def _ranks(spaced: F.Column, table: list[int]) -> F.Column:
     """The sorted set of a line's words: each is its level before the rest of its hash."""
-    first = ",".join(str(x << (63 - _LEVELS)) for x in table)
-    levels = F.split(F.lit(first), ",").cast("array<long>")  # a constant: folded before it runs
+    levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")  # a constant: folded before it runs
     hashes = F.array_distinct(F.transform(_split(spaced), lambda x: F.xxhash64(x)))
-    level = lambda x: F.get(levels, F.shiftrightunsigned(x, 64 - _BITS).cast("int"))
+    # Levels are shifted here: the JVM shares its objects of small numbers, so that the table stays in a core's cache. What is
+    # never null is sorted as plain numbers.
+    own = lambda x: F.coalesce(F.get(levels, F.shiftrightunsigned(x, 64 - _BITS).cast("int")), F.lit(0).cast("long"))
+    level = lambda x: F.call_function("shiftleft", own(x), F.lit(63 - _LEVELS))
     return F.sort_array(F.transform(hashes, lambda x: level(x).bitwiseOR(F.shiftrightunsigned(x, 1 + _LEVELS))))
 
 
 def line_classes(docs: DataFrame, table: list[int], num: int = 4, den: int = 5) -> DataFrame:
     """One row for each distinct set of words: id (any number of its own), d, th, line (where it first stands), n (size),
-    prefix (its first words by rarity), sig and sig2 (parity bits)."""
+    prefix (its first words by rarity), sig and sig2 (parity bits), key (the two words of least hash in a prefix of four or more)."""
     rows = _lines(_keyed(docs)).select("d", "th", "line", _ranks(F.col("t"), table).alias("w"))
     size = F.size("w")
     prefix = F.slice("w", 1, size - F.floor((size * num + den - 1) / F.lit(den)).cast("int") + 1)
@@ -91,7 +109,9 @@ def line_classes(docs: DataFrame, table: list[int], num: int = 4, den: int = 5)
     # A hash, the size and 128 parity bits tell sets apart.
     keyed = rows.select(F.xxhash64("w").alias("k"), size.alias("n"), parity(0).alias("sig"), parity(64).alias("sig2"), F.struct("d", "th", "line", prefix.alias("prefix")).alias("at"))
     first = keyed.groupBy("k", "n", "sig", "sig2").agg(F.min("at").alias("at")).select("n", "sig", "sig2", "at.*")
-    return stage(first.withColumn("id", F.monotonically_increasing_id()), "classes")
+    plain = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << (63 - _LEVELS)) - 1)))
+    key = F.when(F.size("prefix") >= 4, F.xxhash64(F.slice(F.sort_array(plain), 1, 2)))
+    return stage(first.withColumn("key", key).withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def _joined(classes: DataFrame, least: int) -> DataFrame:
@@ -101,14 +121,12 @@ def _joined(classes: DataFrame, least: int) -> DataFrame:
     of near copies are often their edits. Its classes have half of the words, and three at least, that half of the
     nominated ones have in their prefixes.
     """
-    keyed = classes.where(F.size("prefix") >= 4).select("id", "prefix")
-    plain = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << (63 - _LEVELS)) - 1)))
-    named = keyed.select("id", "prefix", F.xxhash64(F.slice(F.sort_array(plain), 1, 2)).alias("key"))
-    hot = named.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    keyed = classes.where("key IS NOT NULL").select("id", "prefix", "key")
+    hot = keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= least)
     hot = hot.withColumn("g", F.row_number().over(Window.orderBy(F.desc("m"), "key")).cast("long"))
     # Numbers beyond the bits in a posting: such classes meet by pairs like those of no family.
     hot = stage(hot.where(F.col("g") < 1 << (63 - _ID_BITS)), "hot")
-    words = small_join(named, hot, ["key"]).select("g", "m", F.explode("prefix").alias("word"))
+    words = small_join(keyed, hot, ["key"]).select("g", "m", F.explode("prefix").alias("word"))
     words = words.groupBy("g", "m", "word").agg(F.count("*").alias("c")).where(F.col("c") * 2 >= F.col("m"))
     words = words.select("word", "g", F.count("*").over(Window.partitionBy("g")).alias("of"))
     words = stage(words, "words")
@@ -172,28 +190,36 @@ def candidate_pairs(classes: DataFrame, num: int = 4, den: int = 5, own: DataFra
         classes = small_join(classes, own.select("id", "g"), ["id"], "left", 500_000)
         above = F.call_function("shiftleft", F.coalesce("g", F.lit(0).cast("long")), F.lit(_ID_BITS))
         classes = classes.withColumn("id", above.bitwiseOR(F.col("id")))
-    posting = classes.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sig", "sig2")
-    size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    # Nothing here is ever null; saying so keeps filters for nulls out, and one exchange serves both sides of the join.
-    sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
-    posting = posting.select(sure(F.col("word"), "word"), sure(F.col("id"), "id"), sure(size_place, "np"), sure(F.col("sig"), "sig"), sure(F.col("sig2"), "sig2"))
+    # The smaller set's side has fewer words, and so rows of its own: far fewer of both meet.
+    fewer = F.slice("prefix", 1, F.col("n") - F.floor((F.col("n") * (2 * num) + (num + den - 1)) / F.lit(num + den)).cast("int") + 1)
+    large = _postings(classes, F.col("prefix"))
+    small = _postings(classes, fewer).select("word", *(F.col(x).alias(f"b_{x}") for x in ("id", "np", "sig", "sig2")))
     size = lambda p: F.shiftright(F.col(p + "np"), 32)
     place = lambda p: F.col(p + "np").bitwiseAND(F.lit(0xFFFFFFFF))
-    small = posting.select("word", *(F.col(x).alias(f"b_{x}") for x in ("id", "np", "sig", "sig2")))
     na, nb = size(""), size("b_")
-    # Least number of words that both share: ceil of t / (1 + t) of both sizes together.
-    least = F.floor(((na + nb) * num + (num + den - 1)) / F.lit(num + den))
     ordered = (nb < na) | ((nb == na) & (F.col("b_id") < F.col("id")))
+    # What both share is t / (1 + t) of both sizes together at least; no more than reach is left from the word on.
     reach = F.least(na - place(""), nb - place("b_"))
     differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("b_sig2")))
     apart = F.lit(True)
     if own is not None:
         apart = (F.col("id") < 1 << _ID_BITS) | (F.col("id").bitwiseXOR(F.col("b_id")) >= 1 << _ID_BITS)
-    both = posting.join(small, "word").where(ordered & apart & (nb * den >= na * num) & (reach >= least) & (differ <= na + nb - 2 * least))
+    # Cheap and telling conditions first: they are tried in this order.
+    bounds = (nb * den >= na * num) & (differ * (num + den) <= (na + nb) * (den - num)) & (reach * (num + den) >= (na + nb) * num)
+    both = large.join(small, "word").where((nb <= na) & bounds & ordered & apart)
     low = F.lit((1 << _ID_BITS) - 1 if own is not None else -1).cast("long")
     return both.select(F.col("id").bitwiseAND(low).alias("a"), F.col("b_id").bitwiseAND(low).alias("b")).distinct()
 
 
+def _postings(classes: DataFrame, prefix: F.Column) -> DataFrame:
+    """A row for each class and word of its prefix: word, id, np (size and the word's place), sig, sig2; nothing is null."""
+    posting = classes.select(F.posexplode(prefix).alias("pos", "word"), "id", "n", "sig", "sig2")
+    size_place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    # Saying that nothing here is ever null keeps filters for nulls out.
+    sure = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
+    return posting.select(sure(F.col("word"), "word"), sure(F.col("id"), "id"), sure(size_place, "np"), sure(F.col("sig"), "sig"), sure(F.col("sig2"), "sig2"))
+
+
 def _hashes() -> F.Column:
     """The set of the words of t, by 64-bit hashes."""
     return F.array_distinct(F.transform(_split(F.col("t")), lambda x: F.xxhash64(x)))

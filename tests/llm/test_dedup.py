@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -216,3 +217,17 @@ def test_lines_of_large_families_without_their_pairs(spark, monkeypatch):
     assert {r.doc_id: list(r.removed) for r in got} == helpers.lines(rows)
     links = sum(n for own in expected.values() for _, n in own) // 2
     assert links > 10_000 and sum(made.values()) < links / 4, (links, made)
+
+
+def test_rarity_of_words_below_the_mean(spark):
+    """Words that stand in few lines are told apart, and both sides of the join have only the words that they need."""
+    text = "the " * 1_000_000 + "once " + "often " * 4
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    table = lines._shares(df)
+    bucket = lambda w: spark.sql(f"SELECT shiftrightunsigned(xxhash64('{w}'), {64 - lines._BITS})").first()[0]
+    once, often, the = (table[bucket(w)] for w in ("once", "often", "the"))
+    assert often - once == 4 and the == 31
+    classes = lines.line_classes(spark.createDataFrame([(k, " ".join(f"w{k + j}" for j in range(45))) for k in range(9)], "doc_id long, text string"), table)
+    assert {len(r.prefix) for r in classes.collect()} == {10}
+    assert lines._postings(classes, F.col("prefix")).count() == 90
+    assert lines.candidate_pairs(classes).count() >= sum(1 for a in range(9) for b in range(a) if a - b <= 5)
